@@ -30,8 +30,8 @@ def prefix_sums(df: DataFrame, group: list[str], key: str, tie: list[str], value
     df = df.withColumn("_slice", F.floor(F.col(key) / F.lit(width)).cast("int")).withColumn("_v", F.coalesce(value, F.lit(0)).cast("long"))
     totals = df.groupBy(*group, "_slice").agg(F.sum("_v").alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    match = [df[c].eqNullSafe(offsets[c]) for c in [*group, "_slice"]]
-    joined = df.join(offsets, match).select(*[df[c] for c in df.columns], offsets["_before"])
+    offsets = totals.select(*[F.col(c).alias(f"_{c}_at") for c in [*group, "_slice"]], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}_at")) for c in [*group, "_slice"]]
+    joined = df.join(offsets, match).drop(*[f"_{c}_at" for c in [*group, "_slice"]])
     inside = Window.partitionBy(*group, "_slice").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col("_before") + F.sum("_v").over(inside)).drop("_slice", "_v", "_before")
