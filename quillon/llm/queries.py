@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.mixing import mix_sources
+from quillon.llm.overlap import Overlap, cross_split_overlap
 from quillon.llm.related import deal_groups, related_groups
 
 
@@ -13,6 +14,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _overlap(spark: SparkSession, folder: str) -> Overlap:
+    return cross_split_overlap(_table(spark, folder, "distemist_raw_splits").select("row_id", "split", "source", "text"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlap(spark, folder).pairs()
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlap(spark, folder).report()
+
+
 def _groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = _table(spark, folder, "distemist_raw_splits").select("doc_id")
     return related_groups(docs, _table(spark, folder, "text_files").select("filename", "patient_ref", "author_ref"))
@@ -45,6 +58,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_split": p2_split, "p2_forest": p2_forest,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
 }
