@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.encoding import restore_encoding
 from quillon.llm.mixing import mix_sources
 from quillon.llm.overlap import Overlap, cross_split_overlap
 from quillon.llm.related import deal_groups, related_groups
+from quillon.llm.splitting import split_oversized
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +47,22 @@ def p2_forest(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder)[1].select("u", "v", "kind")
 
 
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(_table(spark, folder, "distemist_raw_splits"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_pieces(spark, folder).where("piece_no = 0").select("row_id")
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return restore_encoding(_table(spark, folder, "subtrack1_entities"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_restored(spark, folder).select("row_id")
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(_table(spark, folder, "documents").select("doc_id", "text", "source"), _table(spark, folder, "mix_targets"))
 
@@ -60,10 +78,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_split": p2_split, "p2_forest": p2_forest,
+    "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p4_found": p4_found, "p4_restored": p4_restored,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
 }
 
 SQL = {
+    "p3_found": r"""
+SELECT row_id FROM distemist_raw_splits
+WHERE len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 246""",
     "p2_found": r"""
 WITH RECURSIVE docs AS (
   SELECT DISTINCT doc_id, regexp_replace(doc_id, '_chunk[0-9]+$', '') AS base FROM distemist_raw_splits WHERE doc_id IS NOT NULL),
