@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.encoding import restore_encoding
+from quillon.llm.language import document_languages, fit_language_model, language_cases, language_stretches
 from quillon.llm.mixing import mix_sources
 from quillon.llm.overlap import Overlap, cross_split_overlap
 from quillon.llm.related import deal_groups, related_groups
@@ -75,12 +76,26 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p8_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    model = fit_language_model(_table(spark, folder, "lang_samples"))
+    return language_stretches(_table(spark, folder, "documents"), model)
+
+
+def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return document_languages(p8_stretches(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language_cases(p8_stretches(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_split": p2_split, "p2_forest": p2_forest,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_restored": p4_restored,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_stretches": p8_stretches, "p8_languages": p8_languages,
 }
 
 SQL = {
