@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.encoding import restore_encoding
 from quillon.llm.language import document_languages, fit_language_model, language_cases, language_stretches
+from quillon.llm.leakage import leaked_items
 from quillon.llm.mixing import mix_sources
 from quillon.llm.overlap import Overlap, cross_split_overlap
 from quillon.llm.related import deal_groups, related_groups
@@ -64,6 +65,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_restored(spark, folder).select("row_id")
 
 
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).select("item_id", "doc_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item with the number of documents that leak it, 0 where none does."""
+    hits = p6_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("covered").alias("most_covered"))
+    items = _table(spark, folder, "eval_items").select("item_id", "split")
+    return items.join(hits, "item_id", "left").select("item_id", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "most_covered")
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(_table(spark, folder, "documents").select("doc_id", "text", "source"), _table(spark, folder, "mix_targets"))
 
@@ -94,6 +110,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_split": p2_split, "p2_forest": p2_forest,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_restored": p4_restored,
+    "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_items": p6_items,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_stretches": p8_stretches, "p8_languages": p8_languages,
 }
