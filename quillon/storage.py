@@ -24,13 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to; clear() deletes what is put there."""
+    path = f"{shared_folder(spark)}/quillon/{label}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return what was written. Rows and columns stay as they are."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillon/{label}-{uuid.uuid4().hex[:12]}"
-    schema = df.schema
+    path, schema = scratch_path(spark, label), df.schema
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
