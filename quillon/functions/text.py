@@ -80,10 +80,10 @@ def unescape_unicode(col: Column | str) -> Column:
     # A pair is marked first, so that both halves are decoded together; what is left of the surrogates has no partner.
     paired = F.regexp_replace(whole, high + low, "\\\\u{$1$2}")
     single = F.regexp_replace(paired, r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}", "\ufffd")
-    parts = F.split(single, r"(?=\\u\{[0-9a-fA-F]{8}\})|(?=\\u[0-9a-fA-F]{4})")
+    parts = F.split(single, r"(?=\\u\{[dD][89abAB][0-9a-fA-F]{2}[dD][c-fC-F][0-9a-fA-F]{2}\})|(?=\\u[0-9a-fA-F]{4})")
 
     def one(p: Column) -> Column:
-        pair, char = p.rlike(r"^\\u\{[0-9a-fA-F]{8}\}"), p.rlike(r"^\\u[0-9a-fA-F]{4}")
+        pair, char = p.rlike(r"^\\u\{[dD][89abAB][0-9a-fA-F]{2}[dD][c-fC-F][0-9a-fA-F]{2}\}"), p.rlike(r"^\\u[0-9a-fA-F]{4}")
         return (
             F.when(pair, F.concat(F.decode(F.unhex(F.substring(p, 4, 8)), "UTF-16BE"), p.substr(F.lit(13), F.length(p))))
             .when(char, F.concat(F.decode(F.unhex(F.substring(p, 3, 4)), "UTF-16BE"), p.substr(F.lit(7), F.length(p)))).otherwise(p)

@@ -23,11 +23,21 @@ def scan_annotations(spark: SparkSession, folder: str, linked: bool = False, pat
     return placed.withColumn("span", F.coalesce("span", F.lit(""))).withColumn("ord", F.struct("_file", "_row")).drop("_file", "_row")
 
 
+def _empty_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Names of the empty files in folder, which Spark's scans leave out; the driver lists folders for any scan."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return [f.getPath().getName() for f in found if f.isFile() and f.getLen() == 0 and f.getPath().getName().endswith(suffix)]
+
+
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, text) of every *.txt directly in folder; the id is the name without its last suffix, line ends become \\n."""
+    """(doc_id, text) of every *.txt directly in folder; the id is the name without its last suffix, line ends become \\n.
+    An empty file is a document with an empty text."""
     files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
-    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    found = files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    empty = _empty_files(spark, folder, ".txt")
+    return found.unionByName(spark.createDataFrame([(n[: -len(".txt")], "") for n in empty], "doc_id string, text string")) if empty else found
 
 
 def mock_source(spark: SparkSession) -> DataFrame:
