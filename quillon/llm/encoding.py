@@ -112,6 +112,8 @@ def _odd(text: str, i: int) -> bool:
         if c == "ß":
             return not before.isalpha() or before.lower() not in _VOWELS
         if c.isupper():
+            if text[max(0, i - 2) : i] == "Mc" or text[max(0, i - 3) : i] == "Mac":
+                return False
             return before.isalpha() and (after.islower() or before.islower() and not after.isupper())
         return c.islower() and before.isupper() and text[i - 2 : i - 1].islower() and not after.isalpha()
     if c == "·":

@@ -68,6 +68,7 @@ def deal_groups(members: DataFrame, train: float = 0.8, dev: float = 0.1, test:
     """
     if min(train, dev, test) < 0 or abs(train + dev + test - 1) > 1e-9:
         raise ValueError("the three shares must be non-negative and sum to 1")
+    members = members.select("doc_id", "group_id")
     sizes = members.groupBy("group_id").agg(F.count("*").alias("size"))
     banded = keep(sizes.withColumn("band", F.when(F.col("size") <= 8, F.col("size")).otherwise(6 + F.floor(F.log2("size"))).cast("int")).withColumn("key", hash_key("group_id", seed=seed)), "groups")
     total, n, least = banded.agg(F.sum("size"), F.count("*"), F.min("band")).first()
