@@ -42,11 +42,12 @@ def chunk_records(df: DataFrame, window: int = 246, overlap: int = 50, doc_id: s
     not cut), doc_id (with the suffix _chunk<k> where it was), text, n_words, start, entities.
 
     An entity that crosses a chunk's edge is in neither part; one that lies in the overlap is in both. Null
-    texts have no chunks, blank ones a single one; null entities are none. One pass, no shuffle.
+    texts have no chunks, blank ones a single one; null entities are none. One pass, no shuffle. (Every text has a
+    chunk, so the outer explode adds none; the plain one would evaluate the cuts a second time, as a filter.)
     """
     own = {doc_id, text, entities, "orig_doc_id", "chunk_no", "n_words", "start"}
     rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
-    cut = df.where(F.col(text).isNotNull()).select(*rest, F.col(doc_id).alias("orig_doc_id"), F.col(text).alias("_text"), F.col(entities).alias("_entities"), F.explode(window_cuts(word_spans(text), F.col(text), window, overlap)).alias("_c"))
+    cut = df.where(F.col(text).isNotNull()).select(*rest, F.col(doc_id).alias("orig_doc_id"), F.col(text).alias("_text"), F.col(entities).alias("_entities"), F.explode_outer(window_cuts(word_spans(text), F.col(text), window, overlap)).alias("_c"))
     return cut.select(
         *rest, "orig_doc_id", F.col("_c.chunk_no").alias("chunk_no"),
         F.when(F.col("_c.chunk_no").isNull(), F.col("orig_doc_id")).otherwise(F.concat("orig_doc_id", F.lit("_chunk"), F.col("_c.chunk_no"))).alias("doc_id"),

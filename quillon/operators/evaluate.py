@@ -12,7 +12,7 @@ from quillon.functions.text import strip_chunk_suffix
 def entity_pairs(df: DataFrame, names: Column, doc_id: Column | str = "doc_id") -> DataFrame:
     """Distinct (doc_id, entity) over the chunks of each document; documents without an entity have no pair."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return df.select(strip_chunk_suffix(key).alias("doc_id"), F.explode(entity_names(names)).alias("entity")).where("doc_id is not null").distinct()
+    return df.select(strip_chunk_suffix(key).alias("doc_id"), F.explode_outer(entity_names(names)).alias("entity")).where("doc_id is not null and entity is not null").distinct()
 
 
 def outcomes(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -23,6 +23,17 @@ def outcomes(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.select("doc_id", "entity", F.when(F.col("t").isNotNull() & F.col("p").isNotNull(), "TP").when(F.col("p").isNotNull(), "FP").otherwise("FN").alias("outcome"))
 
 
+def row_outcomes(df: DataFrame, truth: Column, predicted: Column, doc_id: Column | str = "doc_id") -> DataFrame:
+    """outcomes of entity_pairs(df, truth) and entity_pairs(df, predicted) where both stand in the same rows: one
+    pass and one shuffle, in place of two distincts and a join."""
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    marked = lambda names, t: F.transform(F.coalesce(entity_names(names), F.array().cast("array<string>")), lambda e: F.struct(e.alias("entity"), F.lit(t).alias("t")))
+    rows = df.select(strip_chunk_suffix(key).alias("doc_id"), F.concat(marked(truth, True), marked(predicted, False)).alias("x"))
+    rows = rows.select("doc_id", F.explode_outer("x").alias("x")).where("doc_id is not null and x is not null").select("doc_id", "x.entity", "x.t")
+    both = rows.groupBy("doc_id", "entity").agg(F.bool_or("t").alias("t"), F.bool_or(~F.col("t")).alias("p"))
+    return both.select("doc_id", "entity", F.when(F.col("t") & F.col("p"), "TP").when(F.col("p"), "FP").otherwise("FN").alias("outcome"))
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d, and 0 where d is 0."""
     return F.when(d == 0, F.lit(0.0)).otherwise(n.cast("double") / d)
@@ -39,13 +50,22 @@ def _counts() -> list[Column]:
     return [F.count_if(F.col("outcome") == x).alias(x.lower()) for x in ("TP", "FP", "FN")]
 
 
+def micro_scores(found: DataFrame) -> DataFrame:
+    """outcomes -> one row: counts summed over all documents, then precision, recall and F1 once."""
+    return scores(found.agg(*_counts()))
+
+
+def doc_scores(found: DataFrame) -> DataFrame:
+    """outcomes -> the same for each document."""
+    return scores(found.groupBy("doc_id").agg(*_counts()))
+
+
 def micro_prf1(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row: counts summed over all documents, then precision, recall and F1 once."""
-    return scores(outcomes(truth, predicted).agg(*_counts()))
+    return micro_scores(outcomes(truth, predicted))
 
 
 def per_doc_prf1(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    return scores(outcomes(truth, predicted).groupBy("doc_id").agg(*_counts()))
+    return doc_scores(outcomes(truth, predicted))
 
 
 def best_epoch(log: DataFrame, by: str = "model_key") -> DataFrame:
@@ -76,7 +96,7 @@ def token_confusion(df: DataFrame, truth: str, predicted: str, keys: list[str])
     """(keys, i, truth, predicted, outcome) word by word; the longer array is cut to the other."""
     n = F.least(F.size(truth), F.size(predicted))
     pairs = F.zip_with(F.slice(truth, F.lit(1), n), F.slice(predicted, F.lit(1), n), lambda t, p: F.struct(t.alias("truth"), p.alias("predicted"), token_outcome(t, p).alias("outcome")))
-    return df.select(*keys, F.posexplode(pairs).alias("i", "x")).select(*keys, "i", "x.truth", "x.predicted", "x.outcome")
+    return df.select(*keys, F.posexplode_outer(pairs).alias("i", "x")).where("x is not null").select(*keys, "i", "x.truth", "x.predicted", "x.outcome")
 
 
 # The colours of the confusion view.

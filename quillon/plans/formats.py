@@ -11,7 +11,7 @@ from quillon.functions.tokenizers import FOLDER, token_length, token_pieces, wor
 from quillon.operators import evaluate
 from quillon.operators.predict import gazetteer, gazetteer_terms
 from quillon.operators.profile import safe_window, token_word_ratio
-from quillon.plans.pipeline import _metrics, _read, _records, _tagged
+from quillon.plans.pipeline import _metrics, _read, _records, _tagged, _texts
 from quillon.plans.pipeline_sql import SQL as PIPELINE_SQL
 from quillon.sources import files
 from quillon.storage import keep, scratch_path
@@ -77,7 +77,7 @@ def subword_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Safe windows by tokenizer and percentile, from tokens a word of a public vocabulary."""
     out = None
     for name in VOCABULARIES:
-        ratios = keep(token_word_ratio(_records(spark, folder).select("text"), token_length("text", f"{FOLDER}/{name}"), word_count("text")).select("ratio"), "ratios")
+        ratios = keep(token_word_ratio(_texts(spark, folder).select("text"), token_length("text", f"{FOLDER}/{name}"), word_count("text")).select("ratio"), "ratios")
         for p in (0.9, 1.0):
             part = safe_window(ratios, p).select(F.lit(name).alias("tokenizer"), F.lit(p).alias("percentile"), "ratio", "window_words")
             out = part if out is None else out.unionByName(part)
@@ -95,7 +95,7 @@ def compare_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
 
 def gazetteer_predict(spark: SparkSession, folder: str) -> DataFrame:
     terms = gazetteer_terms(_read(spark, folder, "disease_terms"))
-    return _records(spark, folder).select("row_id", F.explode(gazetteer("text", terms)).alias("code"))
+    return _texts(spark, folder).select("row_id", gazetteer("text", terms).alias("codes")).select("row_id", F.explode("codes").alias("code"))
 
 
 QUERIES = {

@@ -16,6 +16,7 @@ from quillon.functions.text import let, strip_chunk_suffix, unescape_unicode, wo
 from quillon.operators import annotate, evaluate, profile, splits
 from quillon.operators.chunking import chunk_records
 from quillon.plans.pipeline_sql import SQL  # noqa: F401
+from quillon.storage import spread
 
 WINDOW, OVERLAP = 246, 50
 
@@ -28,9 +29,13 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "distemist_raw_splits")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_records(spark, folder).select("row_id", "doc_id", "split", "text", "entities"))
+
+
 def _tagged(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, doc_id, split, tokens, tags, predicted) of records with a text."""
-    rows = _records(spark, folder).where("text is not null").select("row_id", "doc_id", "split", word_spans("text").alias("ws"), "entities")
+    rows = _texts(spark, folder).where("text is not null").select("row_id", "doc_id", "split", word_spans("text").alias("ws"), "entities")
     rows = rows.select("row_id", "doc_id", "split", let(F.struct(F.col("ws").alias("ws"), bio_tags(F.col("ws"), F.col("entities")).alias("tags")), lambda x: x).alias("x"))
     rows = rows.select("row_id", "doc_id", "split", F.transform("x.ws", lambda w: w["word"]).alias("tokens"), F.col("x.tags").alias("tags"))
     return rows.withColumn("predicted", _perturbed(F.col("tags"), F.col("row_id")))
@@ -41,7 +46,7 @@ def _perturbed(tags: Column, row_id: Column) -> Column:
 
 
 def word_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _records(spark, folder).select("row_id", F.explode(word_spans("text")).alias("w")).select("row_id", "w.i", "w.word", "w.start", "w.end")
+    return _texts(spark, folder).select("row_id", F.explode_outer(word_spans("text")).alias("w")).where("w is not null").select("row_id", "w.i", "w.word", "w.start", "w.end")
 
 
 def word_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,16 +54,16 @@ def word_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def length_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.length_profile(_records(spark, folder).select("split", word_count("text").alias("n_words")), ["split"], "n_words")
+    return profile.length_profile(_texts(spark, folder).select("split", word_count("text").alias("n_words")), ["split"], "n_words")
 
 
 def chunk_length_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile after chunking, measured on the chunks."""
-    return profile.length_profile(chunk_records(_records(spark, folder), WINDOW, OVERLAP).select("split", "n_words"), ["split"], "n_words")
+    return profile.length_profile(chunk_records(_texts(spark, folder), WINDOW, OVERLAP).select("split", "n_words"), ["split"], "n_words")
 
 
 def _ratios(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.token_word_ratio(_records(spark, folder).select("row_id", "text"), profile.pieces_of_four("text"), word_count("text"))
+    return profile.token_word_ratio(_texts(spark, folder).select("row_id", "text"), profile.pieces_of_four("text"), word_count("text"))
 
 
 def token_word_ratios(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +112,7 @@ def split_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunk_records(_records(spark, folder), WINDOW, OVERLAP)
+    return chunk_records(_texts(spark, folder), WINDOW, OVERLAP)
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +134,7 @@ def strip_suffix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bio_tag_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _tagged(spark, folder).select("row_id", F.posexplode("tags").alias("i", "tag")).where("tag <> 'O'")
+    return _tagged(spark, folder).select("row_id", F.posexplode_outer("tags").alias("i", "tag")).where("tag <> 'O'")
 
 
 def bio_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +142,7 @@ def bio_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bio_decode_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _tagged(spark, folder).select("row_id", F.explode(bio_decode(F.col("tokens"), F.col("predicted"))).alias("entity"))
+    return _tagged(spark, folder).select("row_id", F.explode_outer(bio_decode(F.col("tokens"), F.col("predicted"))).alias("entity")).where("entity is not null")
 
 
 def seq2seq_targets(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +156,7 @@ def seq2seq_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_generated_rows(spark: SparkSession, folder: str) -> DataFrame:
     targets = _records(spark, folder).select("row_id", F.upper(seq2seq_target(F.col("entities"))).alias("g"))
-    return targets.select("row_id", F.explode(parse_generated(F.col("g"))).alias("entity"))
+    return targets.select("row_id", F.explode_outer(parse_generated(F.col("g"))).alias("entity")).where("entity is not null")
 
 
 def unicode_unescape(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,10 +189,8 @@ def token_confusion(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("split", "outcome").agg(F.count("*").alias("n"))
 
 
-def _pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = _tagged(spark, folder)
-    truth = evaluate.entity_pairs(rows, bio_decode(F.col("tokens"), F.col("tags")))
-    return truth, evaluate.entity_pairs(rows, bio_decode(F.col("tokens"), F.col("predicted")))
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.row_outcomes(_tagged(spark, folder), bio_decode(F.col("tokens"), F.col("tags")), bio_decode(F.col("tokens"), F.col("predicted")))
 
 
 def doc_entity_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,25 +198,20 @@ def doc_entity_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def micro_prf1(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.micro_prf1(*_pairs(spark, folder))
+    return evaluate.micro_scores(_outcomes(spark, folder))
 
 
 def per_doc_prf1(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.per_doc_prf1(*_pairs(spark, folder))
+    return evaluate.doc_scores(_outcomes(spark, folder))
 
 
-def _outcome(name: str):
+def _outcome(*names: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return evaluate.outcomes(*_pairs(spark, folder)).where(F.col("outcome") == name).select("doc_id", "entity")
+        return _outcomes(spark, folder).where(F.col("outcome").isin(*names)).select("doc_id", "entity")
 
     return query
 
 
-def entity_union(spark: SparkSession, folder: str) -> DataFrame:
-    truth, predicted = _pairs(spark, folder)
-    return truth.union(predicted).distinct()
-
-
 def annotator_prf1(spark: SparkSession, folder: str) -> DataFrame:
     """The annotation table held against the records' own entities, for the records it annotates."""
     notes = _read(spark, folder, "subtrack1_entities").select(F.col("filename").alias("doc_id"), F.array(unescape_unicode("span")).alias("names"))
@@ -261,5 +259,5 @@ QUERIES = {
     "parse_generated": parse_generated_rows, "unicode_unescape": unicode_unescape, "label_encode": label_encode, "argmax_labels": argmax_labels,
     "mask_ignored": mask_ignored, "word_level_collapse": word_level_collapse, "token_confusion": token_confusion, "doc_entity_sets": doc_entity_sets,
     "micro_prf1": micro_prf1, "per_doc_prf1": per_doc_prf1, "entity_intersect": _outcome("TP"), "entity_except": _outcome("FP"), "entity_missed": _outcome("FN"),
-    "entity_union": entity_union, "annotator_prf1": annotator_prf1, "best_epoch": best_epoch, "training_curves": training_curves, "metric_pivot": metric_pivot,
+    "entity_union": _outcome("TP", "FP", "FN"), "annotator_prf1": annotator_prf1, "best_epoch": best_epoch, "training_curves": training_curves, "metric_pivot": metric_pivot,
 }

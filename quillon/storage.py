@@ -39,6 +39,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than there are cores, as with one small file; else df.
+
+    For steps that cost much more than the rows weigh. A scan of a large table has partitions enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the scratch tables of this session; results that still read them must have been used up."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -96,6 +96,15 @@ def test_entity_pairs_join_chunks(spark):
     assert {tuple(r) for r in evaluate.entity_pairs(df, F.col("n")).collect()} == {("d", "a"), ("d", "b")}
 
 
+def test_row_outcomes_equal_the_join(spark):
+    rng = random.Random(8)
+    names = lambda: None if rng.random() < 0.1 else [rng.choice(["a", "B", "b ", "c", None, ""]) for _ in range(rng.randrange(4))]
+    rows = [(rng.choice(["x", "y_chunk0", "y_chunk1", None]), names(), names()) for _ in range(30)]
+    df = spark.createDataFrame(rows, "doc_id string, t array<string>, p array<string>")
+    want = evaluate.outcomes(evaluate.entity_pairs(df, F.col("t")), evaluate.entity_pairs(df, F.col("p")))
+    assert {tuple(r) for r in evaluate.row_outcomes(df, F.col("t"), F.col("p")).collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_log_views(spark):
     log = spark.createDataFrame([("m", 1, 1.0, 0.9, None, 0.5), ("m", 2, 2.0, None, 0.3, 0.7), ("m", 3, 3.0, None, None, 0.7), ("k", 1, 1.0, 0.1, None, None)], "model_key string, step int, epoch double, loss double, eval_loss double, eval_f1 double")
     assert [tuple(r) for r in evaluate.best_epoch(log).collect()] == [("m", 2.0, 0.7)]
