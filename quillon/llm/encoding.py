@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.storage import spread
+
 #: Encodings that text is written in, and those it is taken for. Order decides between equal readings.
 WRITTEN = ("utf-8", "cp1252", "mac_roman", "cp850", "cp437")
 TAKEN_FOR = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "cp1251", "cp1250", "iso8859-2", "iso8859-15", "cp1253", "cp866", "koi8-r")
@@ -242,5 +244,5 @@ def restore_encoding(df: DataFrame, text: str = "span") -> DataFrame:
     letters, decomposed accents and literal escapes are left alone. Null and empty texts, and rows in ASCII, have no row here;
     rows that repeat come out each.
     """
-    some = df.select("row_id", F.col(text).alias("span")).where(F.col("span").rlike(r"[^\x00-\x7F]|\p{L}\?\p{L}"))
-    return some.mapInArrow(_run, OUT)
+    some = df.select(F.col("row_id").cast("long").alias("row_id"), F.col(text).alias("span")).where(F.col("span").rlike(r"[^\x00-\x7F]|\p{L}\?\p{L}"))
+    return spread(some).mapInArrow(_run, OUT)

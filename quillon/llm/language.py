@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.storage import spread
+
 #: Longest character n-gram within a word and its two ends.
 GRAM = 4
 #: Labelled rows that the classifier is fitted on at most, first in hash order.
@@ -312,7 +314,7 @@ def language_stretches(docs: DataFrame, model: Model, **options) -> DataFrame:
     whether the stretch holds running words, not only measurements. Null texts and texts without letters have none.
     The model is a few thousand weights, fixed in size by its samples, and travels with the task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"), "text").where("text is not null")
-    return rows.mapInArrow(_run(model, options), STRETCHES)
+    return spread(rows).mapInArrow(_run(model, options), STRETCHES)
 
 
 def document_languages(found: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.normal import WordIds, normal_words
-from quillon.storage import keep
+from quillon.storage import keep, spread
 
 #: Words of the shortest passage that counts, and of every fingerprinted window.
 PASSAGE = 20
@@ -22,8 +22,9 @@ ONE_IN = 7
 BITS, BLOCKS = 64, 4
 #: Hamming radius within which every pair of fingerprints is found.
 RADIUS = 15
-#: Items looked for in one pass over the documents; more are looked for in several.
-ITEMS_PER_PASS = 500
+#: Item windows looked for in one pass over the documents; more are looked for in several. A pass hands a task the
+#: items and builds about 10 kB of tables for each window.
+WINDOWS_PER_PASS = 8_000
 
 LEAK = "item_id long, doc_id long, first_word int, n_words int, edits int, covered double, similarity double"
 
@@ -293,7 +294,19 @@ def _verified(index: Index, k: int, text: np.ndarray, found: list[tuple[int, flo
     return max(0, -end - length + 1), length, -edits, float(covered.mean()), best
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def _passes(rows: Iterator[tuple[int, str]], size: int) -> Iterator[list[tuple[int, str]]]:
+    block, n = [], 0
+    for row in rows:
+        block.append(row)
+        n += max(1, len(row[1].split()) - PASSAGE + 1)
+        if n >= size:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, per_pass: int = WINDOWS_PER_PASS) -> DataFrame:
     """(item_id, doc_id, ...): LEAK, one row per document of docs (doc_id, text) and item of items (item_id, text) of which it
     holds a passage: at least PASSAGE words in order, at most one in ONE_IN changed, left out or added, case,
     accents, punctuation, spacing, inline tags and hyphens at line ends set aside.
@@ -302,22 +315,18 @@ def leaked_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PA
     in all documents; a multi-index finds all pairs of fingerprints within RADIUS; a candidate window must have
     LEAST_SIMILAR of the item window's weighted shingles, and an alignment then proves the passage. n_words and
     edits are those of its longest proved stretch, covered the share of the item's words in any. The documents are
-    never shuffled; the items go to the tasks in passes of per_pass, each of bounded size. Items and documents
+    never shuffled; the items go to the tasks in passes of about per_pass windows (one item at least). Items and documents
     below PASSAGE words, null and empty texts have no rows; copies among items or documents are found each.
     """
     spark = docs.sparkSession
-    seqs = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(_words, "doc_id long, seq binary"), "doc-words")
+    seqs = keep(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")).mapInArrow(_words, "doc_id long, seq binary"), "doc-words")
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id")
     n_docs = seqs.count()
-    out, block = None, []
-    ahead = rows.toLocalIterator()
-    while True:
-        block = [(r["item_id"], r["text"]) for _, r in zip(range(per_pass), ahead)]
-        if not block:
-            break
+    out, ahead = None, _passes(((r["item_id"], r["text"]) for r in rows.toLocalIterator()), per_pass)
+    for block in ahead:
         bare = Items.of(block)
         counts = seqs.mapInArrow(_frequencies(bare.vocab), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        df = {r["word"]: r["n"] for r in counts.collect()}  # words of at most per_pass items
+        df = {r["word"]: r["n"] for r in counts.collect()}  # words of one pass
         part = seqs.mapInArrow(_find(Items.of(block, df, n_docs)), LEAK)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], LEAK)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import BLANK, strip
 from quillon.operators.prefix import hash_key, prefix_sums
-from quillon.storage import keep
+from quillon.storage import keep, spread
 
 #: A public tokenizer's merge ranks (see the folder's own description), and the pattern that goes with them.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -59,7 +59,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     tokens and those of sources without a target have 0 uses; they stay out of the mixture and in the report.
     """
     goals = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").alias("w"), F.coalesce("max_repeats", F.lit(1)).alias("r")).where("source is not null").groupBy("source").agg(F.sum("w").alias("target_share"), F.min("r").alias("max_repeats"))
-    sized = keep(docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), tokens(F.col(text)).alias("n_tokens")), "sized")
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")))
+    sized = keep(rows.select("doc_id", source_name("source").alias("source"), tokens(F.col("text")).alias("n_tokens")), "sized")
     held = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = goals.join(held, "source", "full_outer").select("source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     plan = keep(plan, "mix-plan")

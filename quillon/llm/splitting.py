@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import word_count
+from quillon.storage import spread
 
 ENTITY = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("label", pa.string()), ("normalized_term", pa.string())])
 PIECE = "row_id long, doc_id string, piece_id string, piece_no int, n_pieces int, text string, n_words int, first_word int, start int, end int, entities array<struct<start:int,end:int,text:string,label:string,normalized_term:string>>, n_lost_entities int"
@@ -166,4 +167,4 @@ def split_oversized(df: DataFrame, limit: int = 246, overlap: int = 50) -> DataF
         raise ValueError("overlap must be at least 0 and below limit")
     kind = "array<struct<start:int,end:int,text:string,label:string,normalized_term:string>>"
     large = df.where(word_count("text") > limit).select("row_id", "doc_id", "text", F.col("entities").cast(kind).alias("entities"))
-    return large.mapInArrow(_run(limit, overlap), PIECE)
+    return spread(large).mapInArrow(_run(limit, overlap), PIECE)
