@@ -16,9 +16,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) an own one."""
+    """The folder named by spark.checkpoint.dir; where that is unset an own one on one machine (tests), an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
