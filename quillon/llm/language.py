@@ -61,29 +61,40 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     held_out: float = float("nan")
-    _cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    _ids: dict[str, int] = field(default_factory=dict, repr=False)
+    _rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_cache": {}}
+        return {**self.__dict__, "_ids": {}, "_rows": None}
+
+    def _add(self, word: str) -> None:
+        if self._rows is None or len(self._ids) > _CACHE_SIZE:
+            self._ids, self._rows = {}, np.zeros((1024, len(self.langs) + 1))
+        k = len(self._ids)
+        if k == len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        gs = grams(word[:100])  # what has more letters is no word
+        row = np.zeros(len(self.langs) + 1)
+        for g in gs:
+            x = self.weights.get(g)
+            if x is not None:
+                row[:-1] += x
+        row[-1] = len(gs)
+        self._rows[k] = row
+        self._ids[word] = k
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's part in the logits, before division by the length norm; and its number of n-grams."""
-        cache = self._cache
-        if len(cache) > _CACHE_SIZE:
-            cache.clear()
-        out = np.empty((len(words), len(self.langs) + 1))
-        for i, w in enumerate(words):
-            v = cache.get(w)
-            if v is None:
-                gs = grams(w[:100])  # a word of more letters is none; its length is kept in the norm
-                v = np.zeros(len(self.langs) + 1)
-                for g in gs:
-                    x = self.weights.get(g)
-                    if x is not None:
-                        v[:-1] += x
-                v[-1] = len(gs)
-                cache[w] = v
-            out[i] = v
+        """Each word's part in the logits, before division by the length norm; and its number of n-grams. Remembered
+        per worker; the memory is emptied when full, which costs time only."""
+        at = list(map(self._ids.get, words))
+        if None in at:
+            out = np.empty((len(words), len(self.langs) + 1))
+            for i, w in enumerate(words):
+                if w not in self._ids:
+                    self._add(w)
+                out[i] = self._rows[self._ids[w]]
+        else:
+            out = self._rows[at] if at else np.empty((0, len(self.langs) + 1))
         return out[:, :-1], out[:, -1]
 
     def logits(self, words: list[str]) -> np.ndarray:
@@ -220,12 +231,14 @@ def stretches(model: Model, text: str, switch: float = 9.0, at_stop: float = 3.0
     sequence of languages over the words is sought, a change costing at_stop where a sentence ends and switch
     elsewhere, so that a few foreign words inside a sentence change nothing; stretches of fewer than least words
     join the one before. Confidence is the calibrated probability of the language over the stretch's words."""
-    spans, words = [], []
-    for m in _TOKEN.finditer(text):
-        spans.append(m.span())
-        words.append(m.group().lower())
+    low = text.lower()
+    if len(low) == len(text):
+        words = _TOKEN.findall(low)
+    else:  # a character whose small form is longer: offsets must be those of the text
+        words = _tokens(text)
     if not words:
         return []
+    spans = [m.span() for m in _TOKEN.finditer(low if len(low) == len(text) else text)]
     z, n = model.words(words)
     root = math.sqrt(max(float(n.mean()), 1.0))
     sums = np.cumsum(np.vstack([np.zeros(z.shape[1]), z]), axis=0)
@@ -239,10 +252,8 @@ def stretches(model: Model, text: str, switch: float = 9.0, at_stop: float = 3.0
         e = e - e.max(axis=1, keepdims=True)
         e = np.maximum(e - np.log(np.exp(e).sum(axis=1, keepdims=True)), -4.0)
         cost = np.full(len(words), switch)
-        for m in _STOP.finditer(text):
-            i = int(np.searchsorted([s[0] for s in spans], m.start()))
-            if 0 < i < len(words):
-                cost[i] = at_stop
+        stops = np.searchsorted(np.array([s[0] for s in spans]), [m.start() for m in _STOP.finditer(text)])
+        cost[stops[(stops > 0) & (stops < len(words))]] = at_stop
         score, back = e[0].copy(), np.zeros((len(words), z.shape[1]), int)
         own = np.arange(z.shape[1])
         for i in range(1, len(words)):

@@ -121,11 +121,17 @@ class Index:
             out[a : a + 2_000] = got / self.whole[w]
         return out
 
-    def fingerprints(self, at: np.ndarray) -> np.ndarray:
-        """SimHash of each window of PASSAGE words."""
-        sums = np.zeros((len(at) + 1, BITS))
-        np.cumsum(self.rows[at], axis=0, out=sums[1:])
-        bits = sums[PASSAGE:] - sums[:-PASSAGE] > 1e-6
+    def fingerprints(self, at: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """SimHash of the windows of PASSAGE words from the given (ascending) starts, or of all."""
+        if starts is None:
+            starts = np.arange(max(0, len(at) - PASSAGE + 1))
+        # Only words of a wanted window are summed up; a window's words stay side by side.
+        edges = np.bincount(starts, minlength=len(at) + 1)[: len(at) + 1] - np.bincount(starts + PASSAGE, minlength=len(at) + 1)[: len(at) + 1]
+        covered = np.flatnonzero(np.cumsum(edges)[:-1])
+        first = np.searchsorted(covered, starts)
+        sums = np.zeros((len(covered) + 1, BITS))
+        np.cumsum(self.rows[at[covered]], axis=0, out=sums[1:])
+        bits = sums[first + PASSAGE] - sums[first] > 1e-6
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +258,7 @@ def _find(items: Items):
                 some = np.flatnonzero(whole & (known[PASSAGE:] - known[:-PASSAGE] >= LEAST_WORDS))
                 if not len(some):
                     continue
-                prints = index.fingerprints(at)[some]
+                prints = index.fingerprints(at, some)
                 for a in range(0, len(some), 2_000):
                     i, w = index.near(prints[a : a + 2_000])
                     i, w = np.unique(np.stack([some[a + i], w]), axis=1) if len(i) else (i, w)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -14,11 +16,20 @@ _HYPHEN = re.compile(r"(?<=[^\W\d_])[-­‐][ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W\d_])
 _CACHE_SIZE = 1_000_000
 
 
+@lru_cache(maxsize=1)
+def _marks() -> re.Pattern[str]:
+    """All combining marks, as one class that is matched without a call for each character."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+
 def plain(text: str) -> str:
     """Lower case without accents (combining marks after decomposition)."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return _marks().sub("", unicodedata.normalize("NFKD", text.lower()))
 
 
 def normal_words(text: str | None, markup: bool = False) -> list[str]:
@@ -41,13 +52,13 @@ class WordIds:
         known = self.known
         if len(known) > _CACHE_SIZE:
             known.clear()
-        out = np.empty(len(words), dtype=np.uint32)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
-            out[i] = h
-        return out
+        out = list(map(known.get, words))
+        if None in out:
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
+            out = list(map(known.get, words))
+        return np.array(out, dtype=np.uint32)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
