@@ -254,17 +254,16 @@ def stretches(model: Model, text: str, switch: float = 9.0, at_stop: float = 3.0
         cost = np.full(len(words), switch)
         stops = np.searchsorted(np.array([s[0] for s in spans]), [m.start() for m in _STOP.finditer(text)])
         cost[stops[(stops > 0) & (stops < len(words))]] = at_stop
-        score, back = e[0].copy(), np.zeros((len(words), z.shape[1]), int)
-        own = np.arange(z.shape[1])
-        for i in range(1, len(words)):
-            top = int(score.argmax())
-            move = score[top] - cost[i] > score
-            back[i] = np.where(move, top, own)
-            score = np.where(move, score[top] - cost[i], score) + e[i]
-        state = int(score.argmax())
+        scores = np.empty_like(e)
+        scores[0] = now = e[0]
+        for i, c in enumerate(cost.tolist()[1:], 1):
+            scores[i] = now = np.maximum(now, now.max() - c) + e[i]
+        top = scores.argmax(axis=1)
+        stays = (scores[:-1] >= (scores.max(axis=1)[:-1] - cost[1:])[:, None]).tolist()
+        before, state = top.tolist(), int(top[-1])
         path = [state]
         for i in range(len(words) - 1, 0, -1):
-            state = int(back[i][state])
+            state = state if stays[i - 1][state] else before[i - 1]
             path.append(state)
         path.reverse()
         runs, a = [], 0
