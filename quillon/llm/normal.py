@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -16,10 +15,14 @@ _HYPHEN = re.compile(r"(?<=[^\W\d_])[-­‐][ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W\d_])
 _CACHE_SIZE = 1_000_000
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache(maxsize=1)
 def _marks() -> re.Pattern[str]:
-    """All combining marks, as one class that is matched without a call for each character."""
-    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    """The combining marks below U+10000 as one class, which is looked up in a table; with marks above it would be
+    searched range by range."""
+    codes = [c for c in range(0x10000) if unicodedata.combining(chr(c))]
     starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
     ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
@@ -29,7 +32,8 @@ def plain(text: str) -> str:
     """Lower case without accents (combining marks after decomposition)."""
     if text.isascii():
         return text.lower()
-    return _marks().sub("", unicodedata.normalize("NFKD", text.lower()))
+    out = _marks().sub("", unicodedata.normalize("NFKD", text.lower()))
+    return "".join(c for c in out if not unicodedata.combining(c)) if _ASTRAL.search(out) else out
 
 
 def normal_words(text: str | None, markup: bool = False) -> list[str]:
