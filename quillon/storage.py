@@ -44,10 +44,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer partitions than there are cores, as with one small file; else df.
 
-    For steps that cost much more than the rows weigh. A scan of a large table has partitions enough and is left alone.
+    For steps that cost much more than the rows weigh. A scan of a large table has partitions enough and is left alone;
+    so is a plan with a shuffle, whose partitions are known only when it has run.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    query, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if query.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    return df.repartition(cores) if query.toRdd().getNumPartitions() < cores else df
 
 
 def clear(spark: SparkSession) -> int:
