@@ -6,12 +6,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Folder of the public tokenizers; a parameter everywhere.
 FOLDER = "/opt/tokenizers"
 
+#: Records whose pieces are held at once.
+ROWS = 500
+
 
 @lru_cache(maxsize=8)
 def _load(path: str):
@@ -65,21 +69,32 @@ def token_length(col: Column | str, path: str) -> Column:
     return run(col)
 
 
-def word_pieces(tokens: Column | str, path: str, limit: int = 512) -> Column:
-    """array<struct<piece:string,word:int>> of a list of words, at most limit pieces; each word is encoded for itself,
-    with the blank before it that the vocabulary expects. Null for null tokens."""
+def word_pieces(tokens: Column | str, path: str, limit: int | None = None) -> Column:
+    """array<struct<piece:string,word:int>> of a list of words; each word is encoded for itself, with the blank before it
+    that the vocabulary expects. All pieces, unless limit names the most that a model takes. Null for null tokens."""
 
-    @F.pandas_udf("array<struct<piece:string,word:int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<piece:string,word:int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _load(path)
         known: dict[str, list[str]] = {}
-        for lists in batches:
-            new = list(dict.fromkeys(w for ws in lists if ws is not None for w in ws if w is not None and w not in known))
-            if len(known) > 500_000:
-                known.clear()
-                new = list(dict.fromkeys(w for ws in lists if ws is not None for w in ws if w is not None))
-            for w, (_, pieces) in zip(new, encode([" " + w for w in new]), strict=True):
-                known[w] = pieces
-            yield pd.Series([None if ws is None else [{"piece": p, "word": i} for i, w in enumerate(ws) if w is not None for p in known[w]][:limit] for ws in lists])
+        for batch in batches:
+            for at in range(0, max(len(batch), 1), ROWS):  # long records: the pieces of a whole batch would fill the worker
+                lists = batch.slice(at, ROWS).to_pylist()
+                if len(known) > 500_000:
+                    known.clear()
+                new = list(dict.fromkeys(w for ws in lists if ws is not None for w in ws if w is not None and w not in known))
+                for w, (_, pieces) in zip(new, encode([" " + w for w in new]), strict=True):
+                    known[w] = pieces
+                pieces, words, ends = [], [], [0]
+                for ws in lists:
+                    for i, w in enumerate(ws or ()):
+                        if w is not None:
+                            pieces += known[w]
+                            words += [i] * len(known[w])
+                    if limit is not None:
+                        del pieces[ends[-1] + limit :], words[ends[-1] + limit :]
+                    ends.append(len(pieces))
+                values = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(words, pa.int32())], names=["piece", "word"])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([ws is None for ws in lists], pa.bool_()))
 
     return run(tokens)

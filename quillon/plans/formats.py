@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.tags import align_labels
-from quillon.functions.text import word_count
+from quillon.functions.text import let, word_count
 from quillon.functions.tokenizers import FOLDER, token_length, token_pieces, word_pieces
 from quillon.operators import evaluate
 from quillon.operators.predict import gazetteer, gazetteer_terms
@@ -70,7 +70,7 @@ def align_subword_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of real subword pieces, framed by two special pieces."""
     rows = _tagged(spark, folder).withColumn("pieces", word_pieces("tokens", f"{FOLDER}/{VOCABULARIES[0]}"))
     ids = F.concat(F.array(F.lit(None).cast("int")), F.transform("pieces", lambda p: p["word"]), F.array(F.lit(None).cast("int")))
-    return rows.select("row_id", F.size("pieces").alias("n_pieces"), F.array_join(align_labels(ids, F.col("tags")), ",").alias("labels"))
+    return rows.select("row_id", F.size("pieces").alias("n_pieces"), F.array_join(let(ids, lambda w: let(F.col("tags"), lambda t: align_labels(w, t))), ",").alias("labels"))
 
 
 def subword_lengths(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import tags as T
 from quillon.functions.text import word_spans
+from quillon.functions.tokenizers import FOLDER, word_pieces
+from quillon.plans.formats import VOCABULARIES, align_subword_labels
 
 ENTITIES = "array<struct<start:int,end:int,text:string,label:string,normalized_term:string>>"
 
@@ -101,3 +103,16 @@ def test_align_and_collapse(spark):
     assert df.select(T.align_labels(F.col("w"), F.col("t")).alias("x")).first().x == [-100, 1, 2, 0, 2, 2, -100]
     pieces = F.transform(F.arrays_zip(F.col("w").alias("word"), F.sequence(F.lit(0), F.lit(6)).alias("value")), lambda p: F.struct(p["word"].alias("word"), p["value"].alias("value")))
     assert df.select(T.first_pieces(pieces).alias("x")).first().x == [1, 3, 4]
+
+
+def test_pieces_of_a_long_record_are_all_labelled(spark, tmp_path):
+    text = "fiebre y " * 700 + "neumonía"
+    entity = (len(text) - 8, len(text), "neumonía", "ENFERMEDAD", None)
+    spark.createDataFrame([(1, "d", text, [entity], "train", "s")], f"row_id long, doc_id string, text string, entities {ENTITIES}, split string, source string").write.parquet(f"{tmp_path}/distemist_raw_splits.parquet")
+    row = align_subword_labels(spark, str(tmp_path)).first()
+    labels = [int(x) for x in row.labels.split(",")]
+    assert row.n_pieces > 1400 and len(labels) == row.n_pieces + 2
+    assert labels[0] == labels[-1] == -100 and sorted(set(labels[1:-1])) in ([0, 1], [0, 1, 2])
+    words = spark.createDataFrame([(["uno"] * 600,)], "w array<string>")
+    path = f"{FOLDER}/{VOCABULARIES[0]}"
+    assert words.select(F.size(word_pieces("w", path)) >= 600, F.size(word_pieces("w", path, 512)) == 512).first() == (True, True)
