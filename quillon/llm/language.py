@@ -32,16 +32,17 @@ NAMES = {
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _STOP = re.compile(r"[.!?;:…][\"'”’»)\]]*(?:\s|$)|\n\s*\n|\|")
-_CACHE_SIZE = 500_000
+_CACHE_SIZE, _LONG_WORD = 500_000, 60
 
 
-def grams(word: str) -> list[str]:
+def grams(word: str) -> Iterator[str]:
     """Character n-grams of a lower-case word, its ends marked by blanks; the whole word is one too."""
     w = f" {word} "
-    out = [w[i : i + n] for n in range(1, GRAM + 1) for i in range(len(w) - n + 1)]
+    for n in range(1, GRAM + 1):
+        for i in range(len(w) - n + 1):
+            yield w[i : i + n]
     if len(w) > GRAM:
-        out.append(w)
-    return out
+        yield w
 
 
 def _tokens(text: str) -> list[str]:
@@ -67,29 +68,34 @@ class Model:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_ids": {}, "_rows": None}
 
+    def _row(self, word: str) -> np.ndarray:
+        row = np.zeros(len(self.langs) + 1)
+        for g in grams(word):
+            x = self.weights.get(g)
+            if x is not None:
+                row[:-1] += x
+            row[-1] += 1
+        return row
+
     def _add(self, word: str) -> None:
         if self._rows is None or len(self._ids) > _CACHE_SIZE:
             self._ids, self._rows = {}, np.zeros((1024, len(self.langs) + 1))
         k = len(self._ids)
         if k == len(self._rows):
             self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-        gs = grams(word[:100])  # what has more letters is no word
-        row = np.zeros(len(self.langs) + 1)
-        for g in gs:
-            x = self.weights.get(g)
-            if x is not None:
-                row[:-1] += x
-        row[-1] = len(gs)
-        self._rows[k] = row
+        self._rows[k] = self._row(word)
         self._ids[word] = k
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's part in the logits, before division by the length norm; and its number of n-grams. Remembered
-        per worker; the memory is emptied when full, which costs time only."""
+        per worker; the memory is emptied when full, and words too long to be met again are not remembered, which costs time only."""
         at = list(map(self._ids.get, words))
         if None in at:
             out = np.empty((len(words), len(self.langs) + 1))
             for i, w in enumerate(words):
+                if len(w) > _LONG_WORD:
+                    out[i] = self._row(w)
+                    continue
                 if w not in self._ids:
                     self._add(w)
                 out[i] = self._rows[self._ids[w]]

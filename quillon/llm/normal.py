@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-­‐][ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W\d_])")
 _CACHE_SIZE = 1_000_000
 

@@ -81,3 +81,11 @@ def test_fit_from_a_table(spark):
     assert model.langs == ["de", "en", "es", "fr", "it", "pt"]
     with pytest.raises(ValueError):
         fit_language_model(spark.createDataFrame([], "lang string, text string"))
+
+
+def test_a_very_long_word_is_read_whole(model):
+    word = "q" * 300 + "straßenbahnhaltestelle" * 3
+    row = model._row(word)
+    whole = sum((model.weights[g] for i in range(len(word) + 2) for n in range(1, 5) if i + n <= len(word) + 2 and (g := f" {word} "[i : i + n]) in model.weights), 0)
+    assert np.allclose(row[:-1], whole)
+    assert model.words([word])[0].shape == (1, 6) and word not in model._ids

@@ -19,6 +19,14 @@ def sentences(rng, n):
     return [" ".join([f"Inicio{i}"] + [f"w{rng.randrange(99)}" for _ in range(rng.randrange(3, 14))]) + "." for i in range(n)]
 
 
+def test_boundaries_of_words_with_long_quote_tails():
+    quotes = "”’" * 40
+    text = f"uno dos{'x' * 30}.{quotes} {'«“' * 30}Tres cuatro"
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    pieces, _ = split_text(text, [], 3, 0)
+    assert len(words) == 4 and pieces[1]["text"].endswith("Tres cuatro") and pieces[0]["text"].endswith(quotes)
+
+
 def test_boundaries():
     assert boundary("fin.", "\n\n", "Otro") > boundary("fin.", " ", "Otro") == SENTENCE > boundary("a,", " ", "b") > boundary("a", " ", "b")
     assert boundary("Dr.", " ", "Paz") < SENTENCE and boundary("ej.", " ", "por") < SENTENCE and boundary("3.", " ", "cm") < SENTENCE
