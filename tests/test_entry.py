@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -23,3 +27,9 @@ def test_queries_equal_their_sql(spark, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def test_core_queries_without_the_optional_imports():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(' '.join(e.queries()))"
+    names = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(entry.__file__).parent).stdout.split()
+    assert "micro_prf1" in names and "p5_found" in names and "p1_found" not in names
