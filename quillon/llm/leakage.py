@@ -15,138 +15,200 @@ from pyspark.sql import functions as F
 from quillon.llm.normal import WordIds, normal_words
 from quillon.storage import keep, spread
 
-#: Words of the shortest passage that counts, and of every fingerprinted window.
+#: Words of the shortest passage that counts, and of every fingerprinted window. Items are longer, but a passage may be as
+#: short as this, so windows of an item's own length would miss quotations of a part.
 PASSAGE = 20
 #: One word in so many may be changed, left out or added.
 ONE_IN = 7
+#: Every passage holds a run of so many unchanged words: 21 words with 3 edits leave 18 in 4 runs, 35 with 5 leave 30 in 6.
+RUN = 5
 BITS, BLOCKS = 64, 4
 #: Hamming radius within which every pair of fingerprints is found.
 RADIUS = 15
-#: Item windows looked for in one pass over the documents; more are looked for in several. A pass hands a task the
-#: items and builds about 10 kB of tables for each window.
-WINDOWS_PER_PASS = 8_000
+#: Independent fingerprints of a window; a candidate lies within RADIUS by one of them at least.
+PRINTS = 3
+#: Word hashes share so many counters of document frequencies, a table of fixed size however large the vocabulary.
+BUCKETS = 1 << 20
+#: Bits of the filter by which texts are searched for runs of items, if these are too many for one task (16 MB).
+FILTER_BITS = 1 << 27
+#: Runs of items that one task looks for; beyond it runs are shared out among tasks. Item windows that are indexed at once (about 20 kB each).
+RUNS_PER_TASK, WINDOWS_AT_ONCE = 6_000, 4_000
+#: Places of runs in texts that one task should hold at most.
+PLACES_PER_TASK, MOST_BUCKETS = 50_000, 1 << 18
+#: Share of an item window's weighted shingles that a candidate must have: each of up to five edits breaks three of about
+#: forty, words pushed out of the window as many, and a word weighs at most twice another.
+LEAST_SIMILAR = 0.35
 
 LEAK = "item_id long, doc_id long, first_word int, n_words int, edits int, covered double, similarity double"
 
 
-def _signs(ids: np.ndarray) -> np.ndarray:
-    """64 signs (+1, -1) for each word id, by a mixing of its bits."""
+def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-    bits = (h[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
-    return bits.astype(np.float32) * 2 - 1
+    return h ^ (h >> np.uint64(31))
+
+
+def _signs(ids: np.ndarray) -> np.ndarray:
+    """BITS x PRINTS signs (+1, -1) for each word id, by a mixing of its bits."""
+    seeds = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        h = _mixed(ids.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93) + seeds)
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")
+    return bits.astype(np.int32) * 2 - 1
+
+
+def runs_of(ids: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of RUN words."""
+    n = len(ids) - RUN + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(RUN if n > 0 else 0):
+            h = (h ^ ids[k : n + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
 
 
 @dataclass(frozen=True)
-class Items:
-    """Evaluation items as word ids, with the weights of their words. Words of no item weigh nothing anywhere."""
+class Weights:
+    """Weights of words by bucket of their hash, 16 to 32: inverse document frequency, damped so that no word outweighs
+    two others. Words of no item weigh nothing anywhere."""
 
-    ids: tuple[int, ...]
-    seqs: tuple[bytes, ...]
-    vocab: bytes
-    weights: bytes
+    buckets: bytes
+    values: bytes
 
     @staticmethod
-    def of(rows: list[tuple[int, str | None]], df: dict[int, int] | None = None, n_docs: int = 0) -> Items:
-        known = WordIds()
-        kept = [(i, s) for i, s in ((i, known(normal_words(t, markup=True))) for i, t in rows) if len(s) >= PASSAGE]
-        vocab = np.unique(np.concatenate([s for _, s in kept])) if kept else np.empty(0, np.uint32)
-        # Inverse document frequency over all documents, damped so that no word outweighs five others.
-        idf = [min(5.0, 1.0 + np.log((1 + n_docs) / (1 + (df or {}).get(int(w), 0))) / 2) for w in vocab]
-        return Items(tuple(i for i, _ in kept), tuple(s.tobytes() for _, s in kept), vocab.tobytes(), np.array(idf, np.float32).tobytes())
+    def of(counts: list[tuple[int, int]], n_docs: int) -> Weights:
+        at = np.array([b for b, _ in counts], np.int32)
+        n = np.array([c for _, c in counts], np.float64)
+        rare = 1 - np.log1p(n) / np.log1p(max(n_docs, 1))
+        return Weights(at.tobytes(), np.clip(16 + 16 * rare, 16, 32).astype(np.int32).tobytes())
+
+    def table(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.int32)
+        out[np.frombuffer(self.buckets, np.int32)] = np.frombuffer(self.values, np.int32)
+        return out
 
 
-class Index:
-    """Fingerprints of all windows of all items, and for each of the BLOCKS blocks of bits a table from a value to
-    the windows whose block is within RADIUS // BLOCKS of it. Two fingerprints within RADIUS differ by no more
-    than that in at least one block, so looking up every block finds every such pair."""
-
-    def __init__(self, items: Items) -> None:
-        self.vocab = np.frombuffer(items.vocab, np.uint32)
-        self.weights = np.append(np.frombuffer(items.weights, np.float32), np.float32(0))
-        self.rows = np.vstack([_signs(self.vocab) * self.weights[:-1, None], np.zeros((1, BITS), np.float32)])
-        self.seqs = [np.frombuffer(s, np.uint32) for s in items.seqs]
-        self.ids = items.ids
-        prints, owner, start = [], [], []
-        for k, seq in enumerate(self.seqs):
-            p = self.fingerprints(self.look(seq))
-            prints.append(p)
-            owner += [k] * len(p)
-            start += range(len(p))
-        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        self.owner, self.start = np.array(owner, np.int32), np.array(start, np.int32)
-        # Shingles of each window: its words and pairs of neighbours, numbered, with their turn among equals and weight.
-        at = [self.look(seq) for seq in self.seqs]
-        steps = np.arange(PASSAGE)
-        words = np.array([at[k][s + steps] for k, s in zip(owner, start, strict=True)], np.int64).reshape(-1, PASSAGE)
-        self.shingles = [(x, _turns(x), w) for x, w in ((words, self.weights[words]), (self.pairs(words), (self.weights[words[:, 1:]] + self.weights[words[:, :-1]]) / 2))]
-        self.whole = sum(w.sum(axis=1) for _, _, w in self.shingles)
-        width = BITS // BLOCKS
-        masks = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), r)], np.uint16)
-        self.tables = []
+@lru_cache(maxsize=2)
+def _table(weights: Weights) -> np.ndarray:
+    return weights.table()
+
+
+def fingerprints(ids: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(len(starts), PRINTS) SimHashes of the windows of PASSAGE words from the given (ascending) starts."""
+    # Only words of a wanted window are summed up; a window's words stay side by side.
+    edges = np.bincount(starts, minlength=len(ids) + 1)[: len(ids) + 1] - np.bincount(starts + PASSAGE, minlength=len(ids) + 1)[: len(ids) + 1]
+    covered = np.flatnonzero(np.cumsum(edges)[:-1])
+    first = np.searchsorted(covered, starts)
+    words, back = np.unique(ids[covered], return_inverse=True)
+    sums = np.zeros((len(covered) + 1, BITS * PRINTS), np.int32)
+    np.cumsum((_signs(words) * weight[words & np.uint32(BUCKETS - 1)][:, None])[back], axis=0, out=sums[1:])
+    bits = sums[first + PASSAGE] - sums[first] > 0
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _masks() -> np.ndarray:
+    width = BITS // BLOCKS
+    return np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), r)], np.uint16)
+
+
+class Blocks:
+    """One fingerprint of many windows, and for each of the BLOCKS blocks of its bits a table from a value to the windows
+    whose block is within RADIUS // BLOCKS of it. Two fingerprints within RADIUS differ by no more than that in at
+    least one block, so looking up every block finds every such pair."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints, self.tables, width = prints, [], BITS // BLOCKS
+        masks = _masks()
         for b in range(BLOCKS):
-            own = ((self.prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.uint16)
+            own = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.uint16)
             values, back = np.unique(own, return_inverse=True)
             order = np.argsort(back, kind="stable").astype(np.int32)
             size = np.bincount(back, minlength=len(values))
             near = (values[:, None] ^ masks[None, :]).ravel()
             of = np.repeat(np.arange(len(values), dtype=np.int32), len(masks))
             by = np.argsort(near, kind="stable")
-            self.tables.append((np.searchsorted(near[by], np.arange((1 << width) + 1)), of[by], order, np.concatenate([[0], np.cumsum(size)])))
+            at = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << width))])
+            self.tables.append((at, of[by], order, np.concatenate([[0], np.cumsum(size)])))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, window) of all pairs within RADIUS."""
+        width, one, two = BITS // BLOCKS, [], []
+        for b, (at, of, order, own) in enumerate(self.tables):
+            v = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            i, j = _spread(at[v], at[v + 1])
+            values = of[j]
+            k, w = _spread(own[values], own[values + 1])
+            i, w = i[k], order[w]
+            hit = np.bitwise_count(prints[i] ^ self.prints[w]) <= RADIUS
+            one.append(i[hit])
+            two.append(w[hit])
+        return np.concatenate(one), np.concatenate(two)
+
+
+class Index:
+    """Windows of word sequences (owners) from the given starts, their fingerprints and weighted shingles."""
+
+    def __init__(self, seqs: list[np.ndarray], owner: np.ndarray, start: np.ndarray, weight: np.ndarray) -> None:
+        self.seqs, self.owner, self.start, self.weight = seqs, owner, start, weight
+        self.words = np.array([seqs[k][s : s + PASSAGE] for k, s in zip(owner.tolist(), start.tolist(), strict=True)], np.uint32).reshape(-1, PASSAGE)
+        flat = fingerprints(self.words.ravel(), weight, np.arange(len(self.words)) * PASSAGE) if len(self.words) else np.empty((0, PRINTS), np.uint64)
+        self.prints = [Blocks(np.ascontiguousarray(flat[:, p])) for p in range(PRINTS)]
+        self.shingles = [(x, _turns(x), self._weights(x)) for x in (self.words.astype(np.uint64), _pairs(self.words))]
+        self.whole = np.maximum(sum(w.sum(axis=1) for _, _, w in self.shingles), 1)
 
-    def look(self, seq: np.ndarray) -> np.ndarray:
-        """Places of words in the vocabulary; its length for words of no item."""
-        if not len(self.vocab):
-            return np.zeros(len(seq), np.int64)
-        at = np.searchsorted(self.vocab, seq)
-        at[at == len(self.vocab)] = 0
-        return np.where(self.vocab[at] == seq, at, len(self.vocab))
+    def _weights(self, shingles: np.ndarray) -> np.ndarray:
+        own = self.weight[self.words & np.uint32(BUCKETS - 1)]
+        return own if shingles.shape[1] == PASSAGE else (own[:, 1:] + own[:, :-1]) / 2
 
-    def pairs(self, words: np.ndarray) -> np.ndarray:
-        return words[:, :-1] * (len(self.vocab) + 1) + words[:, 1:]
+    @staticmethod
+    def whole_items(seqs: list[np.ndarray], weight: np.ndarray) -> Index:
+        owner = np.repeat(np.arange(len(seqs)), [len(s) - PASSAGE + 1 for s in seqs])
+        start = np.concatenate([np.arange(len(s) - PASSAGE + 1) for s in seqs]) if seqs else np.empty(0, int)
+        return Index(seqs, owner, start, weight)
 
     def similarity(self, words: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Weighted share of the shingles (words, and pairs of neighbours at their words' mean weight) of each item
-        window that stand, as often, in the words (places in the vocabulary, a row of PASSAGE) beside it."""
+        window that stand, as often, in the words (a row of PASSAGE) beside it."""
         out = np.empty(len(windows))
         for a in range(0, len(windows), 2_000):
             w = windows[a : a + 2_000]
             got = np.zeros(len(w))
-            for have, (own, turn, weight) in zip((words[a : a + 2_000], self.pairs(words[a : a + 2_000])), self.shingles, strict=True):
+            for have, (own, turn, weight) in zip((words[a : a + 2_000].astype(np.uint64), _pairs(words[a : a + 2_000])), self.shingles, strict=True):
                 times = (have[:, :, None] == own[w][:, None, :]).sum(axis=1)
                 got += (weight[w] * (times > turn[w])).sum(axis=1)
             out[a : a + 2_000] = got / self.whole[w]
         return out
 
-    def fingerprints(self, at: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-        """SimHash of the windows of PASSAGE words from the given (ascending) starts, or of all."""
-        if starts is None:
-            starts = np.arange(max(0, len(at) - PASSAGE + 1))
-        # Only words of a wanted window are summed up; a window's words stay side by side.
-        edges = np.bincount(starts, minlength=len(at) + 1)[: len(at) + 1] - np.bincount(starts + PASSAGE, minlength=len(at) + 1)[: len(at) + 1]
-        covered = np.flatnonzero(np.cumsum(edges)[:-1])
-        first = np.searchsorted(covered, starts)
-        sums = np.zeros((len(covered) + 1, BITS))
-        np.cumsum(self.rows[at[covered]], axis=0, out=sums[1:])
-        bits = sums[first + PASSAGE] - sums[first] > 1e-6
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, window, similarity) for the windows of ids from starts that are near a window of the index."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(starts) and len(self.words):
+            prints = fingerprints(ids, self.weight, starts)
+            for a in range(0, len(starts), 2_000):
+                found = [blocks.near(np.ascontiguousarray(prints[a : a + 2_000, p])) for p, blocks in enumerate(self.prints)]
+                i, w = (np.concatenate(x) for x in zip(*found, strict=True))
+                pair = np.unique(i.astype(np.int64) * len(self.words) + w)
+                i, w = starts[a + pair // len(self.words)], pair % len(self.words)
+                similar = self.similarity(ids[i[:, None] + np.arange(PASSAGE)], w)
+                fine = similar >= LEAST_SIMILAR
+                out.append((i[fine], w[fine], similar[fine]))
+        if not out:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in prints, item window) of all pairs within RADIUS."""
-        width, one, two = BITS // BLOCKS, [], []
-        for b, (at, of, order, own) in enumerate(self.tables):
-            v = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            i, j = _spread(at[v], at[v + 1])
-            values = of[j]
-            k, w = _spread(own[values], own[values + 1])
-            i, w = i[k], order[w]
-            hit = np.bitwise_count(prints[i] ^ self.prints[w]) <= RADIUS
-            one.append(i[hit])
-            two.append(w[hit])
-        return np.concatenate(one), np.concatenate(two)
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    return (words[:, :-1].astype(np.uint64) << np.uint64(32)) | words[:, 1:].astype(np.uint64)
+
+
+def _spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges a[k]..b[k]: the k and the members of all of them."""
+    n = b - a
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + a[k]
 
 
 def _turns(rows: np.ndarray) -> np.ndarray:
@@ -192,31 +254,6 @@ def passages(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, in
     return [(s, *v) for s, v in sorted(best.items())]
 
 
-@lru_cache(maxsize=2)
-def _index(items: Items) -> Index:
-    return Index(items)
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = WordIds()
-    for batch in batches:
-        seqs = [ids(normal_words(t, markup=True)).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(seqs, pa.binary())], names=["doc_id", "seq"])
-
-
-def _frequencies(vocab: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(vocab, np.uint32)
-        counts = np.zeros(len(own), np.int64)
-        for batch in batches:
-            for seq in batch.column("seq"):
-                counts[np.isin(own, np.frombuffer(seq.as_buffer(), np.uint32))] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(own[some].astype(np.int64)), pa.array(counts[some])], names=["word", "n"])
-
-    return run
-
-
 def _slices(batch: pa.RecordBatch, size: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(words, row, place in row) of the rows, joined up to size words; longer rows in slices that overlap by a window."""
     parts, rows, places, n = [], [], [], 0
@@ -237,40 +274,104 @@ def _slices(batch: pa.RecordBatch, size: int = 40_000) -> Iterator[tuple[np.ndar
         yield np.concatenate(parts), np.concatenate(rows), np.concatenate(places)
 
 
-#: An aligned window of a text has at least this many words of the item: the passage's, less those changed in
-#: a window, less those that words added push out of it.
-LEAST_WORDS = PASSAGE - 2 * -(-PASSAGE // ONE_IN)
-#: Share of an item window's weighted shingles that a candidate must have: each edit breaks three of about forty,
-#: and a word may weigh five times another.
-LEAST_SIMILAR = 0.5
+def _words(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            seqs = [ids(normal_words(t, markup=True)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column(name), pa.array(seqs, pa.binary())], names=["row", name, "seq"])
+
+    return run
+
+
+def _ids(batch: pa.RecordBatch | pa.Table, name: str = "seq") -> list[np.ndarray]:
+    return [np.frombuffer(v, np.uint32) for v in batch.column(name).to_pylist()]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        some = np.unique(np.concatenate([np.empty(0, np.uint32), *_ids(batch)]) & np.uint32(BUCKETS - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32))], names=["bucket"])
 
 
-def _find(items: Items):
+def _frequencies(wanted: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        own = np.zeros(BUCKETS, bool)
+        own[np.frombuffer(wanted, np.int32)] = True
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for words, row, place in _slices(batch) if len(index.prints) else ():
-                at = index.look(words)
-                whole = row[PASSAGE - 1 :] == row[: len(row) - PASSAGE + 1]
-                whole &= place[PASSAGE - 1 :] - place[: len(row) - PASSAGE + 1] == PASSAGE - 1
-                known = np.concatenate([[0], np.cumsum(at < len(index.vocab))])
-                some = np.flatnonzero(whole & (known[PASSAGE:] - known[:-PASSAGE] >= LEAST_WORDS))
-                if not len(some):
-                    continue
-                prints = index.fingerprints(at, some)
-                for a in range(0, len(some), 2_000):
-                    i, w = index.near(prints[a : a + 2_000])
-                    i, w = np.unique(np.stack([some[a + i], w]), axis=1) if len(i) else (i, w)
-                    similar = index.similarity(at[i[:, None] + np.arange(PASSAGE)], w)
-                    for k, v, x in zip(i[similar >= LEAST_SIMILAR].tolist(), w[similar >= LEAST_SIMILAR].tolist(), similar[similar >= LEAST_SIMILAR].tolist(), strict=True):
-                        spots.setdefault((int(row[k]), int(index.owner[v])), []).append((int(place[k]), x))
+            for seq in batch.column("seq"):
+                at = np.frombuffer(seq.as_buffer(), np.uint32) & np.uint32(BUCKETS - 1)
+                counts[np.unique(at[own[at]])] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
+
+    return run
+
+
+class Runs:
+    """Tells which runs may be an item's: a bit for each of their hashes, and the hashes themselves where given."""
+
+    def __init__(self, bits: np.ndarray, exact: np.ndarray | None = None) -> None:
+        self.bits, self.exact, self.mask = bits, exact, np.uint64(len(bits) * 8 - 1)
+
+    @staticmethod
+    def of(hashes: np.ndarray) -> Runs:
+        size = 1 << 20
+        while size < 16 * len(hashes):
+            size *= 2
+        at = np.unique(hashes & np.uint64(size - 1)).astype(np.int64)
+        bits = np.zeros(size // 8, np.uint8)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return Runs(bits, hashes)
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & self.mask).astype(np.int64)
+        some = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if self.exact is not None and len(some):
+            some = some[np.isin(hashes[some], self.exact)]
+        return some
+
+
+def _around(hits: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Starts of windows that lie in one row and hold a run that begins at one of hits."""
+    edges = np.zeros(len(row) + 1, np.int32)
+    np.add.at(edges, np.maximum(hits - (PASSAGE - RUN), 0), 1)
+    np.add.at(edges, hits + 1, -1)
+    n = len(row) - PASSAGE + 1
+    some = np.flatnonzero(np.cumsum(edges)[:n] > 0)
+    return some[(row[some] == row[some + PASSAGE - 1]) & (place[some + PASSAGE - 1] - place[some] == PASSAGE - 1)]
+
+
+@dataclass(frozen=True)
+class Items:
+    """Items few enough for one task: ids and word ids."""
+
+    ids: tuple[int, ...]
+    seqs: tuple[bytes, ...]
+
+
+@lru_cache(maxsize=2)
+def _index(items: Items, weights: Weights) -> tuple[Index, Runs]:
+    seqs = [np.frombuffer(s, np.uint32) for s in items.seqs]
+    return Index.whole_items(seqs, _table(weights)), Runs.of(np.unique(np.concatenate([np.empty(0, np.uint64), *map(runs_of, seqs)])))
+
+
+def _find(items: Items, weights: Weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, runs = _index(items, weights)
+        for batch in batches:
+            spots: dict[tuple[int, int], list[tuple[int, float]]] = {}
+            for ids, row, place in _slices(batch):
+                starts = _around(runs.hits(runs_of(ids)), row, place)
+                for s, w, x in zip(*(v.tolist() for v in index.candidates(ids, starts)), strict=True):
+                    spots.setdefault((int(row[s]), int(index.owner[w])), []).append((int(place[s]), x))
             out = {c: [] for c in ("item_id", "doc_id", "first_word", "n_words", "edits", "covered", "similarity")}
             ids = batch.column("doc_id").to_pylist()
             for (i, k), found in sorted(spots.items()):
-                hit = _verified(index, k, np.frombuffer(batch.column("seq")[i].as_buffer(), np.uint32), found)
+                hit = _verified(index.seqs[k], np.frombuffer(batch.column("seq")[i].as_buffer(), np.uint32), found)
                 if hit:
-                    for c, v in zip(out, (index.ids[k], ids[i], *hit), strict=True):
+                    for c, v in zip(out, (items.ids[k], ids[i], *hit), strict=True):
                         out[c].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
@@ -278,18 +379,17 @@ def _find(items: Items):
     return run
 
 
-def _verified(index: Index, k: int, text: np.ndarray, found: list[tuple[int, float]]) -> tuple[int, int, int, float, float] | None:
+def _verified(item: np.ndarray, text: np.ndarray, found: list[tuple[int, float]]) -> tuple[int, int, int, float, float] | None:
     """The longest proved stretch around the candidate windows: (first word, words, edits, share of the item covered, similarity)."""
-    item, regions = index.seqs[k], []
+    regions: list[list[int]] = []
     for p, _ in sorted(found):
-        if regions and p - regions[-1][1] <= len(item):
+        if regions and p - regions[-1][1] <= 2 * PASSAGE:
             regions[-1][1] = p + PASSAGE
         else:
             regions.append([p, p + PASSAGE])
-    best = max(x for _, x in found)
     hits, covered = [], np.zeros(len(item), bool)
     for a, b in regions:
-        a, b = max(0, a - len(item)), b + len(item)
+        a, b = max(0, a - 2 * PASSAGE), b + 2 * PASSAGE
         for at in range(a, max(a + 1, b - 2 * PASSAGE), 2_000):  # slices overlap by more than a stretch with its edits
             for s, length, edits, end in passages(item, text[at : min(b, at + 2_000 + 3 * PASSAGE)]):
                 hits.append((length, -edits, -(at + end)))
@@ -297,42 +397,139 @@ def _verified(index: Index, k: int, text: np.ndarray, found: list[tuple[int, flo
     if not hits:
         return None
     length, edits, end = max(hits)
-    return max(0, -end - length + 1), length, -edits, float(covered.mean()), best
+    return max(0, -end - length + 1), length, -edits, float(covered.mean()), max(x for _, x in found)
 
 
-def _passes(rows: Iterator[tuple[int, str]], size: int) -> Iterator[list[tuple[int, str]]]:
-    block, n = [], 0
-    for row in rows:
-        block.append(row)
-        n += max(1, len(row[1].split()) - PASSAGE + 1)
-        if n >= size:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+#: Words kept on each side of a run: what a stretch of the item, or of a text with its edits, that holds the run can reach.
+ITEM_SIDE, TEXT_SIDE = 2 * PASSAGE, 2 * PASSAGE + PASSAGE // 2
+PLACES = "bucket int, run long, row long, id long, at int, n int, seq binary"
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, per_pass: int = WINDOWS_PER_PASS) -> DataFrame:
+def _places(name: str, side: int, buckets: int, filter_bits: bytes | None, least: int):
+    """Runs of the rows (those in the filter) with the words around them, by bucket of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(np.frombuffer(filter_bits, np.uint8)) if filter_bits is not None else None
+        for batch in batches:
+            out = {c: [] for c in ("bucket", "run", "row", "id", "at", "n", "seq")}
+            for row, own, seq in zip(batch.column("row").to_pylist(), batch.column(name).to_pylist(), _ids(batch), strict=True):
+                if len(seq) < least:
+                    continue
+                hashes = runs_of(seq)
+                for p in (range(len(hashes)) if runs is None else runs.hits(hashes).tolist()):
+                    a = max(0, p - side)
+                    for c, v in zip(out, (int(hashes[p] % np.uint64(buckets)), int(hashes[p].view(np.int64)), row, own, p, len(seq), seq[a : p + RUN + side].tobytes()), strict=True):
+                        out[c].append(v)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return run
+
+
+STRETCH = "item_row long, item_id long, item_words int, doc_row long, doc_id long, start int, n_words int, edits int, last_word int, similarity double"
+
+
+def _held(weights: Weights):
+    """Places of runs in items against places of the same runs in texts: candidates among windows that hold the run, and proved stretches."""
+
+    def run(key: tuple, items: pa.Table, texts: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("item_row", "item_id", "item_words", "doc_row", "doc_id", "start", "n_words", "edits", "last_word", "similarity")}
+        if items.num_rows and texts.num_rows:
+            items, texts = items.sort_by("run"), texts.sort_by("run")
+            one, two = (t.drop_columns("seq").to_pydict() for t in (items, texts))
+            own, others = _ids(items), _ids(texts)
+            known = np.array(two["run"])
+            step = WINDOWS_AT_ONCE // (PASSAGE - RUN + 1)
+            for a in range(0, len(own), step):
+                lot = range(a, min(a + step, len(own)))
+                lo, hi = np.searchsorted(known, [one["run"][lot[0]]]), np.searchsorted(known, [one["run"][lot[-1]]], "right")
+                if lo[0] == hi[0]:
+                    continue
+                spans = [(k, s) for k in lot for s in _holding(one["at"][k], ITEM_SIDE, len(own[k]))]
+                index = Index([own[k] for k in lot], np.array([k - a for k, _ in spans], int), np.array([s for _, s in spans], int), _table(weights))
+                for j in range(int(lo[0]), int(hi[0])):
+                    text = others[j]
+                    best: dict[int, float] = {}
+                    for _, w, x in zip(*(v.tolist() for v in index.candidates(text, np.array(_holding(two["at"][j], TEXT_SIDE, len(text)), int))), strict=True):
+                        k = a + int(index.owner[w])
+                        if one["run"][k] == two["run"][j]:
+                            best[k] = max(x, best.get(k, 0.0))
+                    for k, x in best.items():
+                        for s, length, edits, end in passages(own[k], text):
+                            values = (one["row"][k], one["id"][k], one["n"][k], two["row"][j], two["id"][j], max(0, one["at"][k] - ITEM_SIDE) + s, length, edits, max(0, two["at"][j] - TEXT_SIDE) + end, x)
+                            for c, v in zip(out, values, strict=True):
+                                out[c].append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return run
+
+
+def _holding(at: int, side: int, n: int) -> range:
+    """Starts of windows of a slice of n words around the run at `at` that hold the run."""
+    p = min(at, side)
+    return range(max(0, p - (PASSAGE - RUN)), min(p, n - PASSAGE) + 1)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(np.concatenate([np.empty(0, np.uint64), *map(runs_of, (s for s in _ids(batch) if len(s) >= PASSAGE))]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["place", "bit"])
+
+
+def _shared_out(texts: DataFrame, items: DataFrame, weights: Weights, n_runs: int, per_task: int) -> DataFrame:
+    """LEAK where the items' runs are too many for one task: places of runs on both sides are shuffled by the run's hash.
+
+    Texts are searched once, through a filter of FILTER_BITS; what does not hold a run of an item is not shuffled. A bucket of more than
+    PLACES_PER_TASK places on either side is cut into blocks by salts, so that a run in a third of all texts is spread."""
+    spark = texts.sparkSession
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    set_bits = items.mapInArrow(_bits, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most FILTER_BITS / 64 rows
+    words[set_bits.column("place").to_numpy()] = set_bits.column("bit").to_numpy()
+    buckets = min(-(-n_runs // per_task), MOST_BUCKETS)
+    own = keep(items.mapInArrow(_places("item_id", ITEM_SIDE, buckets, None, PASSAGE), PLACES), "item-runs")
+    found = keep(texts.mapInArrow(_places("doc_id", TEXT_SIDE, buckets, words.tobytes(), 1), PLACES), "doc-runs")
+    salts = lambda side, name, most: side.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
+    cut = F.broadcast(salts(own, "i", per_task).join(salts(found, "j", PLACES_PER_TASK), "bucket"))  # at most MOST_BUCKETS rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    salt = lambda n: F.pmod(F.xxhash64("row", "at"), F.col(n)).cast("int")
+    left = own.join(cut, "bucket").withColumns({"x": salt("i"), "y": every("j")}).drop("i", "j")
+    right = found.join(cut, "bucket").withColumns({"x": every("i"), "y": salt("j")}).drop("i", "j")
+    proved = left.groupBy("bucket", "x", "y").cogroup(right.groupBy("bucket", "x", "y")).applyInArrow(_held(weights), STRETCH)
+    best = proved.groupBy("item_row", "item_id", "item_words", "doc_row", "doc_id").agg(
+        F.max(F.struct("n_words", (-F.col("edits")).alias("e"), (-F.col("last_word")).alias("l"))).alias("b"),
+        F.collect_set(F.struct("start", "n_words")).alias("s"), F.max("similarity").alias("similarity"))  # at most as many as the item has words
+    covered = F.size(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["start"], x["start"] + x["n_words"] - 1)))))
+    return best.select("item_id", "doc_id", F.greatest(F.lit(0), -F.col("b.l") - F.col("b.n_words") + 1).alias("first_word"), F.col("b.n_words").alias("n_words"),
+                       (-F.col("b.e")).alias("edits"), (covered / F.col("item_words")).alias("covered"), "similarity")
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
     """(item_id, doc_id, ...): LEAK, one row per document of docs (doc_id, text) and item of items (item_id, text) of which it
     holds a passage: at least PASSAGE words in order, at most one in ONE_IN changed, left out or added, case,
     accents, punctuation, spacing, inline tags and hyphens at line ends set aside.
 
-    Windows of PASSAGE words of both are fingerprinted over words weighted by their inverse document frequency
-    in all documents; a multi-index finds all pairs of fingerprints within RADIUS; a candidate window must have
-    LEAST_SIMILAR of the item window's weighted shingles, and an alignment then proves the passage. n_words and
-    edits are those of its longest proved stretch, covered the share of the item's words in any. The documents are
-    never shuffled; the items go to the tasks in passes of about per_pass windows (one item at least). Items and documents
-    below PASSAGE words, null and empty texts have no rows; copies among items or documents are found each.
+    Windows of PASSAGE words of both are fingerprinted over words weighted by their inverse document frequency in all
+    documents, in a document those that hold RUN words of an item, as every passage does; a multi-index finds all pairs of
+    fingerprints within RADIUS; a candidate window must have LEAST_SIMILAR of the item window's weighted shingles, and an alignment then
+    proves the passage. n_words and edits are those of its longest proved stretch, covered the share of the item's words in any
+    around a candidate. The documents are read once, whatever the number of items: up to runs_per_task runs of items go to every task, more are
+    shared out by their hash and only the places of texts that hold them are shuffled. Items and documents below PASSAGE
+    words, null and empty texts have no rows; copies among items or documents, and repeated rows, are found each.
     """
     spark = docs.sparkSession
-    seqs = keep(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")).mapInArrow(_words, "doc_id long, seq binary"), "doc-words")
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id")
-    n_docs = seqs.count()
-    out, ahead = None, _passes(((r["item_id"], r["text"]) for r in rows.toLocalIterator()), per_pass)
-    for block in ahead:
-        bare = Items.of(block)
-        counts = seqs.mapInArrow(_frequencies(bare.vocab), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        df = {r["word"]: r["n"] for r in counts.collect()}  # words of one pass
-        part = seqs.mapInArrow(_find(Items.of(block, df, n_docs)), LEAK)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], LEAK)
+    numbered = lambda df, name: df.select(F.monotonically_increasing_id().alias("row"), F.col(name).cast("long").alias(name), "text").where("text is not null")
+    seqs = keep(spread(numbered(docs, "doc_id")).mapInArrow(_words("doc_id"), "row long, doc_id long, seq binary"), "doc-words")
+    own = keep(numbered(items, "item_id").mapInArrow(_words("item_id"), "row long, item_id long, seq binary"), "item-words").where(F.octet_length("seq") >= 4 * PASSAGE)
+    n_runs = own.agg(F.sum(F.octet_length("seq") / 4 - (RUN - 1))).first()[0]
+    if not n_runs:
+        return spark.createDataFrame([], LEAK)
+    wanted = own.mapInArrow(_buckets, "bucket int").distinct().toArrow().column("bucket").to_numpy()  # at most BUCKETS rows
+    counts = seqs.mapInArrow(_frequencies(wanted.astype(np.int32).tobytes()), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BUCKETS, np.int64)
+    n[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    weights = Weights.of([(int(b), int(n[b])) for b in wanted], seqs.count())
+    if n_runs <= runs_per_task:
+        rows = own.orderBy("item_id", "row").collect()  # at most runs_per_task runs
+        return seqs.mapInArrow(_find(Items(tuple(r["item_id"] for r in rows), tuple(bytes(r["seq"]) for r in rows)), weights), LEAK)
+    return _shared_out(seqs, own, weights, int(n_runs), runs_per_task)
