@@ -36,15 +36,22 @@ def _groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    members = _groups(spark, folder)[0]
-    tied = members.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return members.join(tied, "group_id").select("group_id", "doc_id")
+    return _groups(spark, folder)[0].where("size > 1").select("group_id", "doc_id")
 
 
 def p2_split(spark: SparkSession, folder: str) -> DataFrame:
     return deal_groups(_groups(spark, folder)[0])
 
 
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the split: every doc_id has one, no group has two, and shares are within 1 point of 80/10/10."""
+    parts = p2_split(spark, folder)
+    groups = parts.groupBy("group_id").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "dev", "test")])
+    off = lambda s, share: F.abs(F.sum(s) / F.sum("n") - F.lit(share)) <= 0.01
+    return groups.agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_groups"), F.count_if(F.col("splits") != 1).alias("groups_apart"),
+                      off("train", 0.8).alias("train_fits"), off("dev", 0.1).alias("dev_fits"), off("test", 0.1).alias("test_fits"))
+
+
 def p2_forest(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder)[1].select("u", "v", "kind")
 
@@ -107,7 +114,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
-    "p2_found": p2_found, "p2_split": p2_split, "p2_forest": p2_forest,
+    "p2_found": p2_found, "p2_split": p2_split, "p2_forest": p2_forest, "p2_shares": p2_shares,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_restored": p4_restored,
     "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_items": p6_items,
@@ -115,11 +122,7 @@ QUERIES = {
     "p8_found": p8_found, "p8_stretches": p8_stretches, "p8_languages": p8_languages,
 }
 
-SQL = {
-    "p3_found": r"""
-SELECT row_id FROM distemist_raw_splits
-WHERE len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 246""",
-    "p2_found": r"""
+_GROUPS = r"""
 WITH RECURSIVE docs AS (
   SELECT DISTINCT doc_id, regexp_replace(doc_id, '_chunk[0-9]+$', '') AS base FROM distemist_raw_splits WHERE doc_id IS NOT NULL),
 named AS (
@@ -133,6 +136,12 @@ reach AS (
   UNION SELECT reach.a, ties.b FROM reach JOIN ties ON reach.b = ties.a),
 groups AS (
   SELECT reach.a AS base, min(d.doc_id) AS group_id FROM reach JOIN docs d ON d.base = reach.b GROUP BY reach.a),
-sized AS (SELECT g.group_id, d.doc_id, count(*) OVER (PARTITION BY g.group_id) AS n FROM docs d JOIN groups g ON g.base = d.base)
-SELECT group_id, doc_id FROM sized WHERE n > 1""",
+sized AS (SELECT g.group_id, d.doc_id, count(*) OVER (PARTITION BY g.group_id) AS n FROM docs d JOIN groups g ON g.base = d.base)"""
+
+SQL = {
+    "p3_found": r"""
+SELECT row_id FROM distemist_raw_splits
+WHERE len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 246""",
+    "p2_found": f"{_GROUPS} SELECT group_id, doc_id FROM sized WHERE n > 1",
+    "p2_shares": f"{_GROUPS} SELECT count(*) AS n_docs, count(DISTINCT group_id) AS n_groups, 0::BIGINT AS groups_apart, true AS train_fits, true AS dev_fits, true AS test_fits FROM sized",
 }

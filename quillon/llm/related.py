@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import strip_chunk_suffix
 from quillon.llm.forest import spanning_forest
 from quillon.operators.prefix import hash_key, prefix_sums
+from quillon.operators.skew import salted_join
 from quillon.storage import keep
 
 
@@ -28,14 +29,14 @@ def tie_edges(docs: DataFrame, files: DataFrame, doc_id: str = "doc_id", name: s
     named = files.select(F.col(name).alias("base"), F.explode(kinds).alias("r")).select("base", "r.*").where("number is not null")
     named = keep(named.join(bases, "base", "left_semi").distinct(), "ties")
     hubs = named.groupBy("kind", "number").agg(F.min("base").alias("hub"))
-    star = named.join(hubs, ["kind", "number"]).where("base <> hub")
+    star = salted_join(named, hubs, ["kind", "number"]).where("base <> hub")
     return star.select(F.concat_ws("|", "kind", "number", "base").alias("id"), F.col("base").alias("u"), F.col("hub").alias("v"), "weight", "kind")
 
 
 def related_groups(docs: DataFrame, files: DataFrame, doc_id: str = "doc_id", **how) -> tuple[DataFrame, DataFrame]:
-    """(members (doc_id, group_id), forest edges (id, u, v, weight, kind)).
+    """(members (doc_id, group_id, size), forest edges (id, u, v, weight, kind)).
 
-    members has each distinct doc_id once; group_id is the least doc_id of its group in byte order. Doc_ids that
+    members has each distinct doc_id once, with the number of those in its group; group_id is the least doc_id of its group in byte order. Doc_ids that
     are equal without an ending _chunk<digits> are one node from the start. A null doc_id is no record; an empty
     one is an id like any other. With no files every base is a group of its own.
     """
@@ -43,8 +44,8 @@ def related_groups(docs: DataFrame, files: DataFrame, doc_id: str = "doc_id", **
     labels, ids = spanning_forest(edges)
     ids = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").distinct().withColumn("base", strip_chunk_suffix(F.col("doc_id"))), ids
     own = keep(ids[0].join(labels.withColumnRenamed("node", "base"), "base", "left").select("doc_id", F.coalesce("root", "base").alias("root")), "roots")
-    first = own.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    return own.join(first, "root").select("doc_id", "group_id"), edges.join(ids[1], "id", "left_semi")
+    first = own.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("size"))
+    return salted_join(own, first, "root").select("doc_id", "group_id", "size"), edges.join(ids[1], "id", "left_semi")
 
 
 def _dealt(rank: str, first: str, held: float, dev: float) -> Column:
@@ -68,7 +69,7 @@ def deal_groups(members: DataFrame, train: float = 0.8, dev: float = 0.1, test:
     """
     if min(train, dev, test) < 0 or abs(train + dev + test - 1) > 1e-9:
         raise ValueError("the three shares must be non-negative and sum to 1")
-    members = members.select("doc_id", "group_id")
+    members = keep(members.select("doc_id", "group_id"), "members")
     sizes = members.groupBy("group_id").agg(F.count("*").alias("size"))
     banded = keep(sizes.withColumn("band", F.when(F.col("size") <= 8, F.col("size")).otherwise(6 + F.floor(F.log2("size"))).cast("int")).withColumn("key", hash_key("group_id", seed=seed)), "groups")
     total, n, least = banded.agg(F.sum("size"), F.count("*"), F.min("band")).first()
@@ -83,4 +84,4 @@ def deal_groups(members: DataFrame, train: float = 0.8, dev: float = 0.1, test:
     need = {s: max(0.0, share * total - got.get(s, 0)) for s, share in (("train", train), ("dev", dev), ("test", test))}
     left = sum(need.values()) or 1.0
     small = ranked.where(F.col("band") == least).withColumn("split", _dealt("place", "train", (need["dev"] + need["test"]) / left, need["dev"] / left))
-    return members.join(large.unionByName(small).select("group_id", "split"), "group_id").select("doc_id", "group_id", "split")
+    return salted_join(members, large.unionByName(small).select("group_id", "split"), "group_id").select("doc_id", "group_id", "split")

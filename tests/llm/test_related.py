@@ -110,3 +110,16 @@ def test_hub_of_a_third(spark):
     files = [(d, None, "AU-1" if i % 3 == 0 else None, "") for i, d in enumerate(docs)]
     sizes = Counter(groups_of(spark, docs, files).values())
     assert sorted(sizes.values())[-1] == 300 and len(sizes) == 601
+
+
+def test_a_large_star_without_adaptive_execution(spark):
+    """One hub with 200,000 edges (hot from 50,000 on), and a chain beside it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        star = spark.range(200_000).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("leaf"), "id").alias("u"), F.lit("hub").alias("v"), F.lit(0).alias("weight"))
+        chain = spark.createDataFrame([(f"c{i}", f"n{i:03}", f"n{i + 1:03}", 1) for i in range(30)], EDGE)
+        labels, forest = spanning_forest(star.unionByName(chain))
+        assert sorted(r["count"] for r in labels.groupBy("root").count().collect()) == [31, 200_001]
+        assert forest.count() == 200_030
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
