@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.skew import PARTS_OF_TASK, salted_join
 from quillon.storage import keep
 
 #: References that one (key, day) should bring to a task; more are spread over several tasks.
@@ -75,14 +76,19 @@ def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, row_id:
         F.coalesce(F.sum("seen").over(before), F.lit(0)).alias("seen"),
         F.sum("seen").over(Window.partitionBy("k")).alias("ever"),
     ).where("refs > 0"), "days")
-    most = days.agg(F.max("refs")).first()[0] or 0
-    salts = min(64, max(1, -(-most // REFS_PER_TASK)))
-    spread = (lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))) if salts > 1 else (lambda x: x.withColumn("salt", F.lit(0)))
+    total, largest = days.agg(F.coalesce(F.sum("refs"), F.lit(0)), F.coalesce(F.max("refs"), F.lit(0))).first()
+    most = max(REFS_PER_TASK, total // (PARTS_OF_TASK * int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if largest <= most:
+        cut = lambda x: x.withColumn("parts", F.lit(1))
+    else:  # at most PARTS_OF_TASK hot days for each shuffle partition
+        hot = F.broadcast(days.where(F.col("refs") > most).select("k", "d", F.ceil(F.col("refs") / F.lit(most)).cast("int").alias("parts")))
+        cut = lambda x: x.join(hot, ["k", "d"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    spread = lambda x: cut(x).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     none = F.lit(0).cast("long")
     line = (
         spread(days.select("k", "d", F.lit(None).cast("timestamp").alias("t"), F.lit(0).alias("turn"), "open", "seen", "ever", F.lit(None).cast("long").alias("row_id")))
         .unionByName(spread(steps.select("k", day, "t", F.lit(0).alias("turn"), F.col("open").cast("long"), F.col("seen").cast("long"), none.alias("ever"), F.lit(None).cast("long").alias("row_id"))))
-        .unionByName(dated.select("k", day, "t", F.lit(1).alias("turn"), none.alias("open"), none.alias("seen"), none.alias("ever"), F.col("row_id").cast("long"), F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int").alias("salt")))
+        .unionByName(cut(dated.select("k", day, "t", F.lit(1).alias("turn"), none.alias("open"), none.alias("seen"), none.alias("ever"), F.col("row_id").cast("long"))).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).drop("parts"))
     )
     sweep = Window.partitionBy("k", "d", "salt").orderBy(F.col("t").asc_nulls_first(), "turn").rowsBetween(Window.unboundedPreceding, 0)
     late = line.select("turn", "row_id", "t", *[F.sum(c).over(sweep).alias(c) for c in ("open", "seen", "ever")]).where("turn = 1 and open <= 0").select(
@@ -92,32 +98,50 @@ def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, row_id:
     return late.unionByName(undated)
 
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], row_id: str = "row_id", max_depth: int = 50) -> DataFrame:
-    """All orphans of the tables: SCHEMA; one row per orphaned row and parent table it lacks.
-
-    Level 0 are the direct orphans. Each further level semi-joins the children of every foreign key with the
-    parent keys all of whose rows are orphans by now; rows found so are new orphans of that depth. It ends when
-    a level adds none (at max_depth levels with an error, as a cycle of keys cannot need more than it has rows).
-    Tables must have row_id, unique within each. Other columns may have any names. Empty tables and nulls are fine.
-    """
-    spark = next(iter(tables.values())).sparkSession
+def all_direct_orphans(tables: dict[str, DataFrame], keys: list[ForeignKey], row_id: str = "row_id") -> DataFrame:
+    """The direct orphans of all strict keys: SCHEMA, at depth 0."""
     parts = [
         direct_orphans(tables[fk.child], tables[fk.parent], fk, row_id).select(
             F.lit(fk.child).alias("child_table"), "row_id", F.lit(fk.parent).alias("parent_table"), "kind", F.lit("direct").alias("origin"), F.lit(0).alias("depth"), "at")
         for fk in keys if fk.strict
     ]
-    found = keep(reduce(DataFrame.unionByName, parts), "orphans") if parts else spark.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionByName, parts) if parts else next(iter(tables.values())).sparkSession.createDataFrame([], SCHEMA)
+
+
+def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], row_id: str = "row_id", max_depth: int = 50) -> DataFrame:
+    """All orphans of the tables: SCHEMA; one row per orphaned row and parent table it lacks.
+
+    Level 0 are the direct orphans. Each further level takes the keys of the parent rows that the level before orphaned, and
+    of these the ones all of whose rows are orphans by now; their children are new orphans of that depth. Only foreign keys
+    whose parent table the level before touched take part. It ends when a level adds none (at max_depth levels with an error, as
+    a cycle of keys cannot need more than it has rows). Tables must have row_id, unique within each. Other columns may have
+    any names. Empty tables and nulls are fine.
+    """
+    written: dict[tuple, DataFrame] = {}
+
+    def refs(fk: ForeignKey, side: str) -> DataFrame:
+        if (at := (id(fk), side)) not in written:
+            table, k = (fk.parent, fk.parent_key) if side == "parent" else (fk.child, fk.key)
+            when = fk.at if side == "child" and fk.at is not None else F.lit(None).cast("timestamp")
+            written[at] = keep(tables[table].select(F.col(row_id).alias("row_id"), k.alias("k"), when.alias("at")).where("k is not null"), f"{side}-keys")
+        return written[at]
+
+    found = new = keep(all_direct_orphans(tables, keys, row_id), "orphans")
     for depth in range(1, max_depth + 1):
+        touched = {r["child_table"] for r in new.select("child_table").distinct().collect()}  # table names
+        due = [fk for fk in keys if fk.parent in touched]
+        if not due:
+            return found
         gone = found.select("child_table", "row_id").distinct()
         level = []
-        for fk in keys:
+        for fk in due:
+            parent, kids = refs(fk, "parent"), refs(fk, "child")
             lost = gone.where(F.col("child_table") == fk.parent).select("row_id", F.lit(1).alias("lost"))
-            parent = tables[fk.parent].select(F.col(row_id).alias("row_id"), fk.parent_key.alias("k")).where("k is not null")
-            dead = parent.join(lost, "row_id", "left").groupBy("k").agg(F.count("*").alias("n"), F.count("lost").alias("lost")).where("n = lost").select("k")
-            at = fk.at if fk.at is not None else F.lit(None).cast("timestamp")
-            kids = tables[fk.child].select(F.col(row_id).alias("row_id"), fk.key.alias("k"), at.alias("at")).where("k is not null")
+            late = new.where(F.col("child_table") == fk.parent).select("row_id")
+            keys_hit = parent.join(late, "row_id", "left_semi").select("k").distinct()
+            dead = salted_join(parent, keys_hit, "k", "left_semi").join(lost, "row_id", "left").groupBy("k").agg(F.count("*").alias("n"), F.count("lost").alias("lost")).where("n = lost").select("k")
             own = gone.where(F.col("child_table") == fk.child).select("row_id")
-            level.append(kids.join(dead, "k", "left_semi").join(own, "row_id", "left_anti").select(
+            level.append(salted_join(kids, dead, "k", "left_semi").join(own, "row_id", "left_anti").select(
                 F.lit(fk.child).alias("child_table"), "row_id", F.lit(fk.parent).alias("parent_table"), F.lit("parent_orphaned").alias("kind"), F.lit("inherited").alias("origin"), F.lit(depth).alias("depth"), "at"))
         new = keep(reduce(DataFrame.unionByName, level), f"orphans-{depth}")
         if new.isEmpty():
