@@ -1,11 +1,12 @@
-"""Word tags and entity names as array expressions: no shuffle, no Python, one row per record."""
+"""Word tags and entity names: one row per record, no shuffle; what would be a step for each word runs in Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import let, running_sums, strip
+from quillon.functions.batches import names_of, tagged, tags_of
+from quillon.functions.text import let, strip
 
 # Fixed values that must equal those of the formats produced.
 LABELS = ("O", "B-ENFERMEDAD", "I-ENFERMEDAD")
@@ -24,16 +25,19 @@ def placed(entities: Column) -> Column:
 def bio_tags(words: Column, entities: Column, name: str = "ENFERMEDAD") -> Column:
     """One tag per word: B for the first word an entity overlaps, I for its others, O elsewhere. Where entities meet
     on a word, the later in the array wins. The label of an entity does not matter. Null words have null tags;
-    null entities and entities without offsets tag nothing."""
+    null entities and entities without offsets tag nothing. The words under an entity are found by binary search."""
+    return F.arrow_udf(tags_of(name), "array<string>")(words, _bare(entities))
 
-    def over(ws: Column) -> Column:
-        # The first word that ends after the entity starts; whether it overlaps is seen at the word.
-        firsts = F.transform(placed(entities), lambda e: F.struct(e["start"].alias("a"), e["end"].alias("b"), F.size(F.filter(ws, lambda w: w["end"] <= e["start"])).alias("first")))
-        return let(firsts, lambda es: F.transform(ws, lambda w: let(
-            F.filter(es, lambda e: (w["end"] > e["a"]) & (w["start"] < e["b"])),
-            lambda c: F.when(F.size(c) == 0, "O").when(F.element_at(c, -1)["first"] == w["i"], f"B-{name}").otherwise(f"I-{name}"))))
 
-    return F.when(words.isNotNull(), let(words, over))
+def tagged_words(text: Column | str, entities: Column | str, name: str = "ENFERMEDAD") -> Column:
+    """struct<tokens:array<string>,tags:array<string>> of a text, tags as in bio_tags; both null for a null text."""
+    entities = F.col(entities) if isinstance(entities, str) else entities
+    return F.arrow_udf(tagged(name), "struct<tokens:array<string>,tags:array<string>>")(text, _bare(entities))
+
+
+def _bare(entities: Column) -> Column:
+    """Offsets only, so that nothing else is handed over."""
+    return F.transform(entities, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
 
 
 def entity_names(values: Column) -> Column:
@@ -42,18 +46,10 @@ def entity_names(values: Column) -> Column:
 
 
 def bio_decode(tokens: Column, tags: Column) -> Column:
-    """Names of the entities that tags mark in tokens. B opens one, I goes on with an open one, anything else closes;
-    an I with nothing open marks nothing. Words are joined by one blank. The longer array is cut to the other."""
-    marks = F.array_join(F.transform(tags, lambda t: F.when(t.startswith("B"), "B").when(t.startswith("I"), "I").otherwise("O")), "", "O")
-
-    def names(m: Column) -> Column:
-        def cut(runs: Column) -> Column:
-            steps = F.zip_with(runs, F.slice(F.split(m, "BI*"), F.lit(1), F.size(runs)), lambda r, g: F.length(r) + F.length(g))
-            return F.zip_with(runs, running_sums(steps), lambda r, end: F.array_join(F.slice(tokens, end - F.length(r) + 1, F.length(r)), " "))
-
-        return entity_names(let(F.regexp_extract_all(m, F.lit("BI*"), F.lit(0)), cut))
-
-    return F.when(tokens.isNotNull() & tags.isNotNull(), let(F.substring(marks, F.lit(1), F.size(tokens)), names))
+    """Names of the entities that tags mark in tokens, as entity_names leaves them. B opens one, I goes on with an open one,
+    anything else closes; an I with nothing open marks nothing. Words are joined by one blank. The longer array is cut to
+    the other; null where either is."""
+    return F.arrow_udf(names_of, "array<string>")(tokens, tags)
 
 
 def seq2seq_target(entities: Column) -> Column:

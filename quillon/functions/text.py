@@ -1,15 +1,15 @@
-"""Text expressions that stay inside the JVM. Offsets are code points everywhere."""
+"""Text expressions: array expressions of the JVM, and words and their offsets in Arrow batches. Offsets are code points everywhere."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.batches import counts_of, spans_of
+
 #: One blank and one other character, as Python's \s and \S see them (U+001C to U+001F are blanks there, not in Java).
 BLANK = r"(?U:[\s\x1c-\x1f])"
 SOLID = r"(?U:[^\s\x1c-\x1f])"
-#: Words whose offsets are accumulated in one run; the runs' sums are accumulated above them.
-RUN = 64
 
 
 def strip_chunk_suffix(col: Column | str) -> Column:
@@ -24,7 +24,7 @@ def words(col: Column | str) -> Column:
 
 def word_count(col: Column | str) -> Column:
     """Number of words; null for a null text."""
-    return F.when((F.col(col) if isinstance(col, str) else col).isNotNull(), F.size(words(col)))
+    return F.arrow_udf(counts_of, "int")(col)
 
 
 def strip(col: Column | str) -> Column:
@@ -38,38 +38,10 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def running_sums(col: Column) -> Column:
-    """Inclusive running sums of an int array, two levels deep: in RUNs, then over the runs. Arrays grow by copying, so
-    one level would cost the square of the length."""
-    empty = F.array().cast("array<int>")
-    grow = lambda items: F.aggregate(items, empty, lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
-
-    def of(steps: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(steps) / RUN).cast("int") - 1), lambda b: grow(F.slice(steps, b * RUN + 1, F.lit(RUN))))
-
-        def over(rs: Column) -> Column:
-            return let(grow(F.transform(rs, lambda r: F.element_at(r, -1))), lambda base: F.flatten(F.transform(rs, lambda r, b: let(
-                F.when(b > 0, F.get(base, b - 1)).otherwise(F.lit(0)), lambda before: F.transform(r, lambda x: x + before)))))
-
-        return F.when(F.size(steps) > 0, let(runs, over)).otherwise(empty)
-
-    return let(col, of)
-
-
 def word_spans(text: Column | str) -> Column:
-    """array<struct<i:int,word:string,start:int,end:int>>: the words of text with half-open offsets.
-
-    Words and the gaps between them come from two passes of one pattern; ends are running sums of their lengths.
-    No shuffle and no Python. A null text has null words, a blank one none.
-    """
-    whole = F.col(text) if isinstance(text, str) else text
-
-    def with_words(w: Column) -> Column:
-        steps = F.zip_with(w, F.slice(F.split(whole, f"{SOLID}+"), F.lit(1), F.size(w)), lambda x, g: F.length(x) + F.length(g))
-        return let(running_sums(steps), lambda e: F.transform(w, lambda x, i: let(F.get(e, i), lambda end: F.struct(
-            i.cast("int").alias("i"), x.alias("word"), (end - F.length(x)).alias("start"), end.alias("end")))))
-
-    return F.when(whole.isNotNull(), let(words(whole), with_words))
+    """array<struct<i:int,word:string,start:int,end:int>>: the words of text with half-open offsets, found for a whole
+    batch at once. A null text has null words, a blank one none."""
+    return F.arrow_udf(spans_of, "array<struct<i:int,word:string,start:int,end:int>>")(text)
 
 
 def unescape_unicode(col: Column | str) -> Column:

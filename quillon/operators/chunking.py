@@ -5,30 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.batches import cuts_of
 from quillon.functions.tags import placed
-from quillon.functions.text import let, word_spans
 
 
-def window_cuts(words: Column, text: Column, window: int, overlap: int) -> Column:
+def window_cuts(text: Column | str, window: int, overlap: int) -> Column:
     """array<struct<chunk_no:int,first_word:int,n_words:int,start:int,end:int>>. A text of at most window words is one
     chunk with its outer blanks and no number; else chunk k has the words from k x (window - overlap)."""
     if not 0 <= overlap < window:
         raise ValueError("overlap must be at least 0 and below window, else no window moves on")
-    step = window - overlap
-    kind = "struct<chunk_no:int,first_word:int,n_words:int,start:int,end:int>"
-
-    def cuts(ws: Column) -> Column:
-        n = F.size(ws)
-        whole = F.array(F.struct(F.lit(None).cast("int").alias("chunk_no"), F.lit(0).alias("first_word"), n.alias("n_words"), F.lit(0).alias("start"), F.length(text).alias("end")).cast(kind))
-        last = F.ceil((n - window) / step).cast("int")
-
-        def one(k: Column) -> Column:
-            size = F.least(F.lit(window), n - k * step)
-            return F.struct(k.alias("chunk_no"), (k * step).alias("first_word"), size.alias("n_words"), F.get(ws, k * step)["start"].alias("start"), F.get(ws, k * step + size - 1)["end"].alias("end")).cast(kind)
-
-        return F.when(n <= window, whole).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one))
-
-    return F.when(words.isNotNull(), let(words, cuts))
+    return F.arrow_udf(cuts_of(window, overlap), "array<struct<chunk_no:int,first_word:int,n_words:int,start:int,end:int>>")(text)
 
 
 def own_entities(entities: Column, start: Column, end: Column) -> Column:
@@ -47,7 +33,7 @@ def chunk_records(df: DataFrame, window: int = 246, overlap: int = 50, doc_id: s
     """
     own = {doc_id, text, entities, "orig_doc_id", "chunk_no", "n_words", "start"}
     rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
-    cut = df.where(F.col(text).isNotNull()).select(*rest, F.col(doc_id).alias("orig_doc_id"), F.col(text).alias("_text"), F.col(entities).alias("_entities"), F.explode_outer(window_cuts(word_spans(text), F.col(text), window, overlap)).alias("_c"))
+    cut = df.where(F.col(text).isNotNull()).select(*rest, F.col(doc_id).alias("orig_doc_id"), F.col(text).alias("_text"), F.col(entities).alias("_entities"), F.explode_outer(window_cuts(text, window, overlap)).alias("_c"))
     return cut.select(
         *rest, "orig_doc_id", F.col("_c.chunk_no").alias("chunk_no"),
         F.when(F.col("_c.chunk_no").isNull(), F.col("orig_doc_id")).otherwise(F.concat("orig_doc_id", F.lit("_chunk"), F.col("_c.chunk_no"))).alias("doc_id"),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import let, words
+from quillon.functions.batches import fours_of
+from quillon.functions.text import let
 
 
 def pieces_of_four(text: Column | str) -> Column:
     """Pieces of a deterministic stand-in tokenizer: every word in fours of characters. Null for a null text."""
-    whole = F.col(text) if isinstance(text, str) else text
-    return F.when(whole.isNotNull(), F.aggregate(words(whole), F.lit(0), lambda acc, w: acc + F.ceil(F.length(w) / 4).cast("int")))
+    return F.arrow_udf(fours_of, "int")(text)
 
 
 def length_profile(df: DataFrame, by: list[str], length: str, exact: bool = True) -> DataFrame:

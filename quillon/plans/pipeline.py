@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.tags import (
-    argmax, bio_decode, bio_tags, encode_labels, first_pieces, kept_labels, parse_generated, placed, seq2seq_input, seq2seq_target,
+    argmax, bio_decode, encode_labels, first_pieces, kept_labels, parse_generated, placed, seq2seq_input, seq2seq_target, tagged_words,
 )
-from quillon.functions.text import let, strip_chunk_suffix, unescape_unicode, word_count, word_spans
+from quillon.functions.text import strip_chunk_suffix, unescape_unicode, word_count, word_spans
 from quillon.operators import annotate, evaluate, profile, splits
 from quillon.operators.chunking import chunk_records
 from quillon.plans.pipeline_sql import SQL  # noqa: F401
@@ -35,9 +35,8 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, doc_id, split, tokens, tags, predicted) of records with a text."""
-    rows = _texts(spark, folder).where("text is not null").select("row_id", "doc_id", "split", word_spans("text").alias("ws"), "entities")
-    rows = rows.select("row_id", "doc_id", "split", let(F.struct(F.col("ws").alias("ws"), bio_tags(F.col("ws"), F.col("entities")).alias("tags")), lambda x: x).alias("x"))
-    rows = rows.select("row_id", "doc_id", "split", F.transform("x.ws", lambda w: w["word"]).alias("tokens"), F.col("x.tags").alias("tags"))
+    rows = _texts(spark, folder).where("text is not null").select("row_id", "doc_id", "split", tagged_words("text", "entities").alias("x"))
+    rows = rows.select("row_id", "doc_id", "split", F.col("x.tokens").alias("tokens"), F.col("x.tags").alias("tags"))
     return rows.withColumn("predicted", _perturbed(F.col("tags"), F.col("row_id")))
 
 
@@ -190,7 +189,7 @@ def token_confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.row_outcomes(_tagged(spark, folder), bio_decode(F.col("tokens"), F.col("tags")), bio_decode(F.col("tokens"), F.col("predicted")))
+    return evaluate.row_outcomes(_tagged(spark, folder), bio_decode(F.col("tokens"), F.col("tags")), bio_decode(F.col("tokens"), F.col("predicted")), decoded=True)
 
 
 def doc_entity_sets(spark: SparkSession, folder: str) -> DataFrame:

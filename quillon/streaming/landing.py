@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillon.functions.tags import bio_tags, seq2seq_input, seq2seq_target
-from quillon.functions.text import let, word_spans
+from quillon.functions.tags import seq2seq_input, seq2seq_target, tagged_words
 from quillon.operators.chunking import chunk_records
 from quillon.schemas import SPLIT_DOCUMENT
 
@@ -23,9 +22,8 @@ def landed_records(spark: SparkSession, folder: str, schema: str = SPLIT_DOCUMEN
 
 def tagged_chunks(records: DataFrame, window: int = 246, overlap: int = 50) -> DataFrame:
     """(doc_id, tokens, ner_tags) of the records' chunks; a table or a stream."""
-    chunks = chunk_records(records, window, overlap).withColumn("_ws", word_spans("text"))
-    both = let(F.struct(F.col("_ws").alias("ws"), bio_tags(F.col("_ws"), F.col("entities")).alias("tags")), lambda x: F.struct(F.transform(x["ws"], lambda w: w["word"]).alias("tokens"), x["tags"].alias("ner_tags")))
-    return chunks.select("doc_id", both.alias("x")).select("doc_id", "x.tokens", "x.ner_tags")
+    both = chunk_records(records, window, overlap).select("doc_id", tagged_words("text", "entities").alias("x"))
+    return both.select("doc_id", F.col("x.tokens").alias("tokens"), F.col("x.tags").alias("ner_tags"))
 
 
 def generated_chunks(records: DataFrame, window: int = 246, overlap: int = 50) -> DataFrame:

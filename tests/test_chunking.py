@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -7,17 +8,14 @@ from quillon.schemas import ENTITIES
 
 
 def model(text, entities, w, o):
+    """From the closed form: ceil((n - w) / (w - o)) + 1 chunks of n > w words, chunk k from word k (w - o)."""
     spans = [m.span() for m in re.finditer(r"\S+", text)]
-    if len(spans) <= w:
+    n = len(spans)
+    if n <= w:
         return [(None, text, entities)]
-    out, k, a = [], 0, 0
-    while True:
-        b = min(a + w, len(spans))
-        x, y = spans[a][0], spans[b - 1][1]
-        out.append((k, text[x:y], [(e[0] - x, e[1] - x, *e[2:]) for e in entities if e[0] >= x and e[1] <= y]))
-        if b == len(spans):
-            return out
-        k, a = k + 1, a + w - o
+    cuts = [(spans[k * (w - o)][0], spans[min(k * (w - o) + w, n) - 1][1]) for k in range(math.ceil((n - w) / (w - o)) + 1)]
+    inside = lambda a, b: [(e[0] - a, e[1] - a, *e[2:]) for e in entities if a <= e[0] and e[1] <= b]
+    return [(k, text[a:b], inside(a, b)) for k, (a, b) in enumerate(cuts)]
 
 
 @pytest.mark.parametrize(("w", "o"), [(5, 0), (5, 2), (7, 6), (1, 0)])

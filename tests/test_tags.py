@@ -12,38 +12,21 @@ ENTITIES = "array<struct<start:int,end:int,text:string,label:string,normalized_t
 
 
 def model_tags(text, entities):
+    """By word: the last entity over it, and whether it is that entity's first word."""
     spans = [m.span() for m in re.finditer(r"\S+", text)]
-    out = ["O"] * len(spans)
-    for e in entities:
-        if e[0] is None or e[1] is None:
-            continue
-        first = True
-        for i, (a, b) in enumerate(spans):
-            if not (b <= e[0] or a >= e[1]):
-                out[i] = "B-ENFERMEDAD" if first else "I-ENFERMEDAD"
-                first = False
-    return out
+    over = {k: [i for i, (a, b) in enumerate(spans) if b > e[0] and a < e[1]] for k, e in enumerate(entities) if None not in e[:2]}
+    last = [max((k for k, words in over.items() if i in words), default=None) for i in range(len(spans))]
+    return ["O" if k is None else f"{'B' if over[k][0] == i else 'I'}-ENFERMEDAD" for i, k in enumerate(last)]
 
 
 def model_names(tokens, tags):
-    out, now = [], []
-    for w, t in zip(tokens, tags, strict=False):
-        if t.startswith("B"):
-            if now:
-                out.append(now)
-            now = [w]
-        elif t.startswith("I") and now:
-            now.append(w)
-        else:
-            if now:
-                out.append(now)
-            now = []
-    if now:
-        out.append(now)
-    return list(dict.fromkeys(x for x in (" ".join(n).strip().lower() for n in out) if x))
-
-
-def test_tags_match_a_sequential_model(spark):
+    """The runs that the pattern BI* matches in the tags' first letters."""
+    marks = "".join(t[0] if t[0] in "BI" else "O" for _, t in zip(tokens, tags, strict=False))
+    names = [" ".join(tokens[slice(*m.span())]).strip().lower() for m in re.finditer("BI*", marks)]
+    return sorted(set(names) - {""}, key=names.index)
+
+
+def test_tags_match_the_model(spark):
     rng = random.Random(1)
     rows = []
     for k in range(60):
@@ -55,14 +38,17 @@ def test_tags_match_a_sequential_model(spark):
     df = spark.createDataFrame(rows, f"k int, text string, e {ENTITIES}")
     got = {r.k: r.t for r in df.select("k", T.bio_tags(word_spans("text"), F.col("e")).alias("t")).collect()}
     assert got == {k: model_tags(t, e) for k, t, e in rows}
+    both = {r.k: (r.x.tokens, r.x.tags) for r in df.select("k", T.tagged_words("text", "e").alias("x")).collect()}
+    assert both == {k: (t.split(), model_tags(t, e)) for k, t, e in rows}
 
 
 def test_tags_of_nulls(spark):
     df = spark.createDataFrame([(None, [(0, 1, "a", "b", None)]), ("a b", None), ("", [])], f"text string, e {ENTITIES}")
     assert [r.t for r in df.select(T.bio_tags(word_spans("text"), F.col("e")).alias("t")).collect()] == [None, ["O", "O"], []]
+    assert [(r.x.tokens, r.x.tags) for r in df.select(T.tagged_words("text", "e").alias("x")).collect()] == [(None, None), (["a", "b"], ["O", "O"]), ([], [])]
 
 
-def test_decode_matches_a_state_machine(spark):
+def test_decode_matches_the_model(spark):
     rng = random.Random(2)
     rows = []
     for k in range(200):

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.functions.text import running_sums, strip, strip_chunk_suffix, unescape_unicode, word_count, word_spans, words
+from quillon.functions.text import strip, strip_chunk_suffix, unescape_unicode, word_count, word_spans, words
 
 
 def _frame(spark, values):
@@ -39,11 +39,6 @@ def test_spans_of_any_text(spark, texts):
     assert [[(s.start, s.end) for s in spans] for spans in got] == [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
 
 
-def test_running_sums(spark):
-    df = spark.createDataFrame([([1] * n,) for n in (0, 1, 63, 64, 65, 128, 1000)], "x array<int>")
-    assert [r[0] for r in df.select(running_sums(F.col("x"))).collect()] == [list(range(1, n + 1)) for n in (0, 1, 63, 64, 65, 128, 1000)]
-
-
 def test_long_text(spark):
     spans = spark.createDataFrame([("ab " * 60_000,)], "t string").select(word_spans("t").alias("s")).select(F.size("s"), F.element_at("s", -1)["end"]).first()
     assert tuple(spans) == (60_000, 179_999)
