@@ -65,11 +65,20 @@ class WordIds:
         return np.array(out, dtype=np.uint32)
 
 
+def _least(plus: int, minus: int, n: int, column: int, left: int) -> int:
+    """The least total that any cell of a column can come to: its own value, and what lengths then still differ by."""
+    size = -(-n // 8)
+    up, down = (np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), count=n, bitorder="little").view(np.int8) for v in (plus, minus))
+    values = column + np.concatenate([[0], np.cumsum(up - down, dtype=np.int32)])
+    return int((values + np.abs(np.arange(n, -1, -1) - left)).min())
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Words changed, left out or added between two id sequences, or limit + 1 if there are more than limit.
 
     Common ends are cut off, then one bit-parallel column step per word of the shorter rest: the longer one's
-    positions are the bits of one integer, so 200 words cost 200 steps.
+    positions are the bits of one integer, so 200 words cost 200 steps. Now and then all of a column is read: where even its best
+    cell cannot end within the limit, the rest is not needed.
     """
     if abs(len(a) - len(b)) > limit:
         return limit + 1
@@ -92,7 +101,10 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     full = (1 << len(a)) - 1
     last = 1 << (len(a) - 1)
     plus, minus, score, left = full, 0, len(a), len(b)
+    look = max(48, len(b) // 24)
     for w in b.tolist():
+        if left % look == 0 and left < len(b) and _least(plus, minus, len(a), len(b) - left, left) > limit:
+            return limit + 1
         eq = where.get(w, 0)
         zero = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
         up = (minus | ~(zero | plus)) & full
