@@ -22,6 +22,9 @@ PASSAGE = 20
 ONE_IN = 7
 #: Every passage holds a run of so many unchanged words: 21 words with 3 edits leave 18 in 4 runs, 35 with 5 leave 30 in 6.
 RUN = 5
+#: Of L words with L // 7 edits, each of which breaks three threes of neighbours, at least L - 2 - 3 (L // 7) threes are left, 10 of
+#: 21 words; the fuller one of the windows at both ends of a passage has half of them or more.
+THREES = 6
 BITS, BLOCKS = 64, 4
 #: Hamming radius within which every pair of fingerprints is found.
 RADIUS = 15
@@ -58,12 +61,12 @@ def _signs(ids: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
-def runs_of(ids: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of RUN words."""
-    n = len(ids) - RUN + 1
+def runs_of(ids: np.ndarray, size: int = RUN) -> np.ndarray:
+    """Hashes of all runs of size words."""
+    n = len(ids) - size + 1
     h = np.zeros(max(n, 0), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(RUN if n > 0 else 0):
+        for k in range(size if n > 0 else 0):
             h = (h ^ ids[k : n + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     return h
@@ -148,6 +151,30 @@ class Blocks:
         return np.concatenate(one), np.concatenate(two)
 
 
+class Runs:
+    """Tells which runs may be an item's: a bit for each of their hashes, and the hashes themselves where given."""
+
+    def __init__(self, bits: np.ndarray, exact: np.ndarray | None = None) -> None:
+        self.bits, self.exact, self.mask = bits, exact, np.uint64(len(bits) * 8 - 1)
+
+    @staticmethod
+    def of(hashes: np.ndarray) -> Runs:
+        size = 1 << 20
+        while size < 16 * len(hashes):
+            size *= 2
+        at = np.unique(hashes & np.uint64(size - 1)).astype(np.int64)
+        bits = np.zeros(size // 8, np.uint8)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return Runs(bits, hashes)
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & self.mask).astype(np.int64)
+        some = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if self.exact is not None and len(some):
+            some = some[np.isin(hashes[some], self.exact)]
+        return some
+
+
 class Index:
     """Windows of word sequences (owners) from the given starts, their fingerprints and weighted shingles."""
 
@@ -158,6 +185,7 @@ class Index:
         self.prints = [Blocks(np.ascontiguousarray(flat[:, p])) for p in range(PRINTS)]
         self.shingles = [(x, _turns(x), self._weights(x)) for x in (self.words.astype(np.uint64), _pairs(self.words))]
         self.whole = np.maximum(sum(w.sum(axis=1) for _, _, w in self.shingles), 1)
+        self.threes = Runs.of(np.unique(np.concatenate([np.empty(0, np.uint64), *(runs_of(s, 3) for s in seqs)])))
 
     def _weights(self, shingles: np.ndarray) -> np.ndarray:
         own = self.weight[self.words & np.uint32(BUCKETS - 1)]
@@ -183,7 +211,13 @@ class Index:
         return out
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, window, similarity) for the windows of ids from starts that are near a window of the index."""
+        """(start, window, similarity) for the windows of ids from starts that are near a window of the index, of those with
+        at least THREES runs of three words of an owner."""
+        if len(starts):
+            known = np.zeros(len(ids) + 1, np.int32)
+            known[self.threes.hits(runs_of(ids, 3)) + 1] = 1
+            known = np.cumsum(known)
+            starts = starts[known[starts + PASSAGE - 2] - known[starts] >= THREES]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(starts) and len(self.words):
             prints = fingerprints(ids, self.weight, starts)
@@ -232,25 +266,30 @@ def passages(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, in
     starts = n - PASSAGE + 1
     if starts < 1 or m < PASSAGE - PASSAGE // ONE_IN:
         return []
-    far = 10_000
+    far, most = 10_000, (2 * PASSAGE - 1) // ONE_IN
     same = item[:, None] == text[None, :]
+    own = np.arange(starts)
     row = np.where(same[:starts], 0, far)
     step = np.arange(m)
     best: dict[int, tuple[int, int, int]] = {}
     for length in range(2, min(2 * PASSAGE, n + 1)):
-        left = min(starts, n - length + 1)
-        hit = same[length - 1 : length - 1 + left]
-        row = row[:left]
-        before = np.full((left, m), far)
+        alive = own <= n - length
+        if length % 4 == 0:  # edits only grow with the length
+            alive &= row.min(axis=1) <= most
+        if not alive.all():
+            own, row = own[alive], row[alive]
+            if not len(own):
+                break
+        before = np.full(row.shape, far)
         before[:, 1:] = row[:, :-1]
-        match = np.where(hit, before, far)
+        match = np.where(same[own + length - 1], before, far)
         now = np.minimum(np.minimum(match, before + 1), row + 1)
         row = np.minimum.accumulate(now - step, axis=1) + step
         if length >= PASSAGE:
             fine = match <= length // ONE_IN
-            for s in np.flatnonzero(fine.any(axis=1)):
-                e = int(match[s].argmin())
-                best[int(s)] = (length, int(match[s, e]), e)
+            for k in np.flatnonzero(fine.any(axis=1)):
+                e = int(match[k].argmin())
+                best[int(own[k])] = (length, int(match[k, e]), e)
     return [(s, *v) for s, v in sorted(best.items())]
 
 
@@ -309,30 +348,6 @@ def _frequencies(wanted: bytes):
     return run
 
 
-class Runs:
-    """Tells which runs may be an item's: a bit for each of their hashes, and the hashes themselves where given."""
-
-    def __init__(self, bits: np.ndarray, exact: np.ndarray | None = None) -> None:
-        self.bits, self.exact, self.mask = bits, exact, np.uint64(len(bits) * 8 - 1)
-
-    @staticmethod
-    def of(hashes: np.ndarray) -> Runs:
-        size = 1 << 20
-        while size < 16 * len(hashes):
-            size *= 2
-        at = np.unique(hashes & np.uint64(size - 1)).astype(np.int64)
-        bits = np.zeros(size // 8, np.uint8)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return Runs(bits, hashes)
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes & self.mask).astype(np.int64)
-        some = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-        if self.exact is not None and len(some):
-            some = some[np.isin(hashes[some], self.exact)]
-        return some
-
-
 def _around(hits: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Starts of windows that lie in one row and hold a run that begins at one of hits."""
     edges = np.zeros(len(row) + 1, np.int32)
