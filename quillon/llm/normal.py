@@ -4,36 +4,38 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])[-­‐][ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W\d_])")
+# The letter before the hyphen is looked at last, so that the search runs from hyphen to hyphen.
+_HYPHEN = re.compile(r"[-\u00ad\u2010](?<=[^\W\d_][-\u00ad\u2010])[ \t]*(?:\r\n?|\n)[ \t]*(?=[^\W\d_])")
+_WIDE = re.compile("[^\x00-\x7f]")
+#: What is no letter or digit of ASCII becomes a blank.
+_BREAKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 _CACHE_SIZE = 1_000_000
 
 
-_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
-
-
-@lru_cache(maxsize=1)
-def _marks() -> re.Pattern[str]:
-    """The combining marks below U+10000 as one class, which is looked up in a table; with marks above it would be
-    searched range by range."""
-    codes = [c for c in range(0x10000) if unicodedata.combining(chr(c))]
-    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
-
-
 def plain(text: str) -> str:
     """Lower case without accents (combining marks after decomposition)."""
+    return _folded(text, None)
+
+
+def _folded(text: str, sign: str | None) -> str:
+    """plain(text), with other signs than those of ASCII replaced by sign. Few different ones stand in a text, so each is
+    replaced everywhere at once."""
+    text = text.lower()
     if text.isascii():
-        return text.lower()
-    out = _marks().sub("", unicodedata.normalize("NFKD", text.lower()))
-    return "".join(c for c in out if not unicodedata.combining(c)) if _ASTRAL.search(out) else out
+        return text
+    text = unicodedata.normalize("NFKD", text)
+    for c in set(_WIDE.findall(text)):
+        if unicodedata.combining(c):
+            text = text.replace(c, "")
+        elif sign is not None and not c.isalnum():
+            text = text.replace(c, sign)
+    return text
 
 
 def normal_words(text: str | None, markup: bool = False) -> list[str]:
@@ -42,8 +44,9 @@ def normal_words(text: str | None, markup: bool = False) -> list[str]:
     if not text:
         return []
     if markup:
-        text = _HYPHEN.sub("", _TAG.sub(" ", text))
-    return _WORD.findall(plain(text))
+        text = _HYPHEN.sub("", _TAG.sub(" ", text) if "<" in text else text)
+    bare = _folded(text, " ")
+    return bare.translate(_BREAKS).split() if bare.isascii() else _WORD.findall(bare)
 
 
 class WordIds:
