@@ -6,7 +6,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -214,81 +214,153 @@ class Stretch:
     sentence: bool
 
 
-def _sentence(spans: list[tuple[int, int]], text: str, at: range, run: int) -> bool:
-    """Whether the words at hold a run of so many words of two letters or more without a number or slash between."""
-    best = now = 0
-    for i in at:
-        a, b = spans[i]
-        gap = text[spans[i - 1][1] : a] if i > at.start else ""
-        if any(c.isdigit() or c in "/|<>=" for c in gap):
+def _sentence(spans: Iterable[tuple[int, int]], text: str, run: int) -> bool:
+    """Whether the words at spans hold a run of so many words of two letters or more without a number or slash between."""
+    now, end = 0, None
+    for a, b in spans:
+        if end is not None and any(c.isdigit() or c in "/|<>=" for c in text[end:a]):
             now = 0
+        end = b
         if b - a >= 2:
             now += 1
-            best = max(best, now)
-            if best >= run:
+            if now >= run:
                 return True
     return False
 
 
-def stretches(model: Model, text: str, switch: float = 9.0, at_stop: float = 3.0, window: int = 8, least: int = 5, run: int = 4) -> list[Stretch]:
-    """The text as stretches of one language each, in order.
+def _constant(e: np.ndarray, least: float) -> int | None:
+    """The language that explains all words together best, if no stretch of words gains more than `least` by another one: a path with
+    changes, of which each costs that much, cannot be better then."""
+    k = int(e.sum(axis=0).argmax())
+    gain = np.cumsum(e - e[:, k : k + 1], axis=0)
+    before = np.minimum(np.minimum.accumulate(np.vstack([np.zeros(e.shape[1]), gain[:-1]]), axis=0), 0.0)
+    return k if (gain - before).max() <= least else None
 
-    If every window of words is best explained by the same language the text is one stretch. Else the most probable
-    sequence of languages over the words is sought, a change costing at_stop where a sentence ends and switch
-    elsewhere, so that a few foreign words inside a sentence change nothing; stretches of fewer than least words
-    join the one before. Confidence is the calibrated probability of the language over the stretch's words."""
+
+@dataclass(frozen=True)
+class Options:
+    """switch, at_stop: what a change of language costs inside a sentence and where one ends. window: words of which the best
+    language must differ somewhere before changes are looked for. least: words of the shortest stretch. run: running words that
+    make a sentence."""
+
+    switch: float = 9.0
+    at_stop: float = 3.0
+    window: int = 8
+    least: int = 5
+    run: int = 4
+
+
+@dataclass
+class _Mixed:
+    """A text that may hold several languages: what each word says for each, and what a change before it costs."""
+
+    text: str
+    spans: list[tuple[int, int]]
+    sums: np.ndarray
+    n: np.ndarray
+    e: np.ndarray
+    cost: np.ndarray
+
+
+def _begin(model: Model, text: str, how: Options) -> list[Stretch] | _Mixed:
+    """The stretches of a text that is in one language throughout, or what is needed to look for changes."""
     low = text.lower()
-    if len(low) == len(text):
-        words = _TOKEN.findall(low)
-    else:  # a character whose small form is longer: offsets must be those of the text
-        words = _tokens(text)
+    same = len(low) == len(text)  # else a character has a longer small form: offsets must be those of the text
+    words = _TOKEN.findall(low) if same else _tokens(text)
     if not words:
         return []
-    spans = [m.span() for m in _TOKEN.finditer(low if len(low) == len(text) else text)]
+    found = lambda: (m.span() for m in _TOKEN.finditer(low if same else text))
     z, n = model.words(words)
     root = math.sqrt(max(float(n.mean()), 1.0))
     sums = np.cumsum(np.vstack([np.zeros(z.shape[1]), z]), axis=0)
-    size = min(window, len(words))
+    size = min(how.window, len(words))
     best = (sums[size:] - sums[:-size]).argmax(axis=1)
-    runs: list[tuple[int, int, int]]
-    if (best == best[0]).all():
-        runs = [(0, len(words), int(best[0]))]
-    else:
+    whole = int(best[0]) if (best == best[0]).all() else None
+    if whole is None:
         e = z / root
         e = e - e.max(axis=1, keepdims=True)
         e = np.maximum(e - np.log(np.exp(e).sum(axis=1, keepdims=True)), -4.0)
-        cost = np.full(len(words), switch)
-        stops = np.searchsorted(np.array([s[0] for s in spans]), [m.start() for m in _STOP.finditer(text)])
-        cost[stops[(stops > 0) & (stops < len(words))]] = at_stop
-        scores = np.empty_like(e)
-        scores[0] = now = e[0]
-        for i, c in enumerate(cost.tolist()[1:], 1):
-            scores[i] = now = np.maximum(now, now.max() - c) + e[i]
-        top = scores.argmax(axis=1)
-        stays = (scores[:-1] >= (scores.max(axis=1)[:-1] - cost[1:])[:, None]).tolist()
-        before, state = top.tolist(), int(top[-1])
-        path = [state]
-        for i in range(len(words) - 1, 0, -1):
-            state = state if stays[i - 1][state] else before[i - 1]
-            path.append(state)
-        path.reverse()
-        runs, a = [], 0
-        for i in range(1, len(words) + 1):
-            if i == len(words) or path[i] != path[a]:
-                if runs and (i - a < least or runs[-1][2] == path[a]):
-                    runs[-1] = (runs[-1][0], i, runs[-1][2])
-                elif runs and len(runs) == 1 and runs[0][1] - runs[0][0] < least:
-                    runs[0] = (runs[0][0], i, path[a])
-                else:
-                    runs.append((a, i, path[a]))
-                a = i
+        whole = _constant(e, min(how.switch, how.at_stop))
+    if whole is not None:
+        o = model.bias + sums[-1] / math.sqrt(max(float(n.sum()), 1.0))
+        last = words[-1] if same else _TOKEN.findall(text)[-1]
+        end = (low if same else text).rfind(last) + len(last)
+        return [Stretch(model.langs[whole], float(model.probabilities(o)[whole]), next(found())[0], end, len(words), _sentence(found(), text, how.run))]
+    spans = list(found())
+    cost = np.full(len(words), how.switch)
+    stops = np.searchsorted(np.array([s[0] for s in spans]), [m.start() for m in _STOP.finditer(text)])
+    cost[stops[(stops > 0) & (stops < len(words))]] = how.at_stop
+    return _Mixed(text, spans, sums, n, e, cost)
+
+
+#: Words of texts whose paths are sought side by side.
+SIDE_BY_SIDE = 200_000
+
+
+def _paths(texts: list[_Mixed]) -> list[list[int]]:
+    """The most probable language of every word of each text. Texts of like length go side by side, a step for each word of the
+    longest: the end of a shorter one is filled up with words that say nothing and before which no change is possible."""
+    out: list[list[int]] = [[] for _ in texts]
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i].cost), reverse=True)
+    while order:
+        most = len(texts[order[0]].cost)
+        lot = order[: max(1, SIDE_BY_SIDE // most)]
+        order = order[len(lot) :]
+        scores = np.zeros((most, len(lot), texts[lot[0]].e.shape[1]))
+        cost = np.full((most, len(lot)), np.inf)
+        for k, i in enumerate(lot):
+            scores[: len(texts[i].cost), k] = texts[i].e
+            cost[: len(texts[i].cost), k] = texts[i].cost
+        for t in range(1, most):
+            scores[t] += np.maximum(scores[t - 1], scores[t - 1].max(axis=1, keepdims=True) - cost[t][:, None])
+        top, best = scores.max(axis=2), scores.argmax(axis=2)
+        path = np.empty((most, len(lot)), np.int64)
+        path[-1] = state = best[-1]
+        at = np.arange(len(lot))
+        for t in range(most - 1, 0, -1):
+            path[t - 1] = state = np.where(scores[t - 1, at, state] >= top[t - 1] - cost[t], state, best[t - 1])
+        for k, i in enumerate(lot):
+            out[i] = path[: len(texts[i].cost), k].tolist()
+    return out
+
+
+def _end(model: Model, x: _Mixed, path: list[int], how: Options) -> list[Stretch]:
+    runs: list[tuple[int, int, int]] = []
+    a = 0
+    for i in range(1, len(path) + 1):
+        if i == len(path) or path[i] != path[a]:
+            if runs and (i - a < how.least or runs[-1][2] == path[a]):
+                runs[-1] = (runs[-1][0], i, runs[-1][2])
+            elif runs and len(runs) == 1 and runs[0][1] - runs[0][0] < how.least:
+                runs[0] = (runs[0][0], i, path[a])
+            else:
+                runs.append((a, i, path[a]))
+            a = i
     out = []
     for a, b, k in runs:
-        o = model.bias + (sums[b] - sums[a]) / math.sqrt(max(float(n[a:b].sum()), 1.0))
-        out.append(Stretch(model.langs[k], float(model.probabilities(o)[k]), spans[a][0], spans[b - 1][1], b - a, _sentence(spans, text, range(a, b), run)))
+        o = model.bias + (x.sums[b] - x.sums[a]) / math.sqrt(max(float(x.n[a:b].sum()), 1.0))
+        out.append(Stretch(model.langs[k], float(model.probabilities(o)[k]), x.spans[a][0], x.spans[b - 1][1], b - a, _sentence(x.spans[a:b], x.text, how.run)))
+    return out
+
+
+def stretches_of(model: Model, texts: list[str], how: Options = Options()) -> list[list[Stretch]]:
+    """Each text as stretches of one language each, in order.
+
+    If every window of words is best explained by the same language the text is one stretch. Else the most probable
+    sequence of languages over the words is sought, a change costing at_stop where a sentence ends and switch
+    elsewhere, so that a few foreign words inside a sentence change nothing; stretches of fewer than least words
+    join the one before. Confidence is the calibrated probability of the language over the stretch's words."""
+    out = [_begin(model, t, how) for t in texts]
+    mixed = [i for i, x in enumerate(out) if isinstance(x, _Mixed)]
+    for i, path in zip(mixed, _paths([out[i] for i in mixed]), strict=True):
+        out[i] = _end(model, out[i], path, how)
     return out
 
 
+def stretches(model: Model, text: str, **options) -> list[Stretch]:
+    return stretches_of(model, [text], Options(**options))[0]
+
+
 def label_language(col: Column | str) -> Column:
     """The language a label names, whatever its spelling (code, region, name); null for placeholders and other languages."""
     first = F.lower(F.regexp_extract(col, r"(?U)(\p{L}+)", 1))
@@ -301,20 +373,28 @@ def label_language(col: Column | str) -> Column:
 STRETCHES = "doc_id long, label string, stretch_no int, lang string, confidence double, start int, end int, n_words int, sentence boolean"
 
 
+#: Characters of texts that are worked on at once.
+CHARACTERS = 4_000_000
+
+
 def _run(model: Model, options: dict):
+    how = Options(**options)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, found = [], [], []
-            for doc_id, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-                for k, s in enumerate(stretches(model, text, **options)):
-                    ids.append(doc_id)
-                    labels.append(label)
-                    found.append((k, s))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array([k for k, _ in found], pa.int32()), pa.array([s.lang for _, s in found], pa.string()),
-                pa.array([s.confidence for _, s in found], pa.float64()), pa.array([s.start for _, s in found], pa.int32()), pa.array([s.end for _, s in found], pa.int32()),
-                pa.array([s.n_words for _, s in found], pa.int32()), pa.array([s.sentence for _, s in found], pa.bool_()),
-            ], names=["doc_id", "label", "stretch_no", "lang", "confidence", "start", "end", "n_words", "sentence"])
+            ids, labels, texts = (batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))
+            a = 0
+            while a < len(texts):
+                b, size = a, 0
+                while b < len(texts) and (b == a or size + len(texts[b]) <= CHARACTERS):
+                    size += len(texts[b])
+                    b += 1
+                rows = [(i, k, s) for i, own in zip(range(a, b), stretches_of(model, texts[a:b], how), strict=True) for k, s in enumerate(own)]
+                a = b
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([ids[i] for i, _, _ in rows], pa.int64()), pa.array([labels[i] for i, _, _ in rows], pa.string()), pa.array([k for _, k, _ in rows], pa.int32()),
+                    *(pa.array([getattr(s, c) for _, _, s in rows], t) for c, t in (("lang", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("sentence", pa.bool_()))),
+                ], names=["doc_id", "label", "stretch_no", "lang", "confidence", "start", "end", "n_words", "sentence"])
 
     return run
 
