@@ -240,8 +240,8 @@ def _constant(e: np.ndarray, least: float) -> int | None:
 @dataclass(frozen=True)
 class Options:
     """switch, at_stop: what a change of language costs inside a sentence and where one ends. window: words of which the best
-    language must differ somewhere before changes are looked for. least: words of the shortest stretch. run: running words that
-    make a sentence."""
+    language must differ somewhere before changes are looked for. least: words of the shortest stretch; run, from one sentence
+    end to another. run: running words that make a sentence."""
 
     switch: float = 9.0
     at_stop: float = 3.0
@@ -327,9 +327,11 @@ def _paths(texts: list[_Mixed]) -> list[list[int]]:
 def _end(model: Model, x: _Mixed, path: list[int], how: Options) -> list[Stretch]:
     runs: list[tuple[int, int, int]] = []
     a = 0
+    at_end = lambda i: i in (0, len(path)) or x.cost[i] <= how.at_stop
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[a]:
-            if runs and (i - a < how.least or runs[-1][2] == path[a]):
+            short = i - a < (how.run if at_end(a) and at_end(i) else how.least)
+            if runs and (short or runs[-1][2] == path[a]):
                 runs[-1] = (runs[-1][0], i, runs[-1][2])
             elif runs and len(runs) == 1 and runs[0][1] - runs[0][0] < how.least:
                 runs[0] = (runs[0][0], i, path[a])

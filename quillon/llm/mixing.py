@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import BLANK, strip
 from quillon.operators.prefix import hash_key, prefix_sums
+from quillon.operators.skew import salted_join
 from quillon.storage import keep, spread
 
 #: A public tokenizer's merge ranks (see the folder's own description), and the pattern that goes with them.
@@ -74,7 +75,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     plan = plan.withColumn("sought_share", sought).withColumn("budget", F.when(on, budget).otherwise(0))
     cuts = plan.where("budget > 0").select("source", "budget", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), F.col("tokens").alias("_all"))
     n = sized.count()
-    some = sized.where("n_tokens > 0").join(cuts, "source").withColumn("key", hash_key("doc_id", seed=seed))
+    some = salted_join(sized.where("n_tokens > 0"), cuts, "source", counted=sized, rows=n).withColumn("key", hash_key("doc_id", seed=seed))
     summed = prefix_sums(some, ["source"], "key", ["doc_id"], F.col("n_tokens"), n)
     rest = F.col("budget") - F.col("epochs") * F.col("_all")
     mixture = keep(summed.select("doc_id", "source", "n_tokens", (F.col("epochs") + F.when(F.col("running") * 2 - F.col("n_tokens") <= rest * 2, 1).otherwise(0)).alias("uses")).where("uses > 0"), "mixture")

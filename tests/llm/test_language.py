@@ -89,3 +89,10 @@ def test_a_very_long_word_is_read_whole(model):
     whole = sum((model.weights[g] for i in range(len(word) + 2) for n in range(1, 5) if i + n <= len(word) + 2 and (g := f" {word} "[i : i + n]) in model.weights), 0)
     assert np.allclose(row[:-1], whole)
     assert model.words([word])[0].shape == (1, 6) and word not in model._ids
+
+
+def test_a_short_whole_sentence_in_another_language_stands(model):
+    es = by_lang("es")
+    text = f"{es[0]} The patient was discharged. {es[1]}"
+    assert [s.lang for s in stretches(model, text)] == ["es", "en", "es"]
+    assert {s.lang for s in stretches(model, f"{es[0].rstrip('.')} patient was discharged {es[1]}")} == {"es"}
