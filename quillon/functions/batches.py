@@ -175,6 +175,33 @@ def decoded(tokens: pa.Array, tags: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array([v for x in names for v in x], pa.string()), mask=pa.array(null))
 
 
+def aligned(word_ids: pa.Array, tags: pa.Array, labels: tuple[str, ...], ignored: int) -> pa.ListArray:
+    """Labels of pieces: ignored without a word, the word's tag for its first piece, for the others that tag as I."""
+    null = pc.or_(word_ids.is_null(), tags.is_null()).to_numpy(zero_copy_only=False)
+    n, m = _lengths(word_ids), _lengths(tags)
+    row = np.repeat(np.arange(len(n)), n)
+    word = pc.fill_null(word_ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = (word >= 0) & (word < m[row])
+    marks = tags.flatten()
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
+    codes, within = (pc.fill_null(pc.index_in(x, pa.array(labels, pa.string())), -1).to_numpy(zero_copy_only=False) for x in (marks, pc.replace_substring_regex(marks, "^B-", "I-")))
+    at = (np.cumsum(m) - m)[row][known] + word[known]
+    out = np.where(word < 0, ignored, -1)
+    out[known] = np.where(same[known], within[at], codes[at])
+    some = ~null[row]
+    ends = np.concatenate([[0], np.cumsum(np.where(null, 0, n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[some].astype(np.int32)), mask=pa.array(null))
+
+
+def aligned_of(labels: tuple[str, ...], ignored: int):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for word_ids, tags in batches:
+            yield aligned(word_ids, tags, labels, ignored)
+
+    return run
+
+
 def spans_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield Words(texts).spans()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.batches import names_of, tagged, tags_of
+from quillon.functions.batches import aligned_of, names_of, tagged, tags_of
 from quillon.functions.text import let, strip
 
 # Fixed values that must equal those of the formats produced.
@@ -98,10 +98,9 @@ def first_pieces(pieces: Column) -> Column:
 
 
 def align_labels(word_ids: Column, tags: Column) -> Column:
-    """Labels of subword pieces: IGNORED for special pieces, a word's tag for its first piece, that tag as I for the others."""
-    ids = lambda tag: encode_labels(F.array(tag))[0]
-    return F.transform(word_ids, lambda w, i: F.when(w.isNull(), F.lit(IGNORED)).when(
-        (i > 0) & F.get(word_ids, i - 1).eqNullSafe(w), ids(F.regexp_replace(F.get(tags, w), "^B-", "I-"))).otherwise(ids(F.get(tags, w))))
+    """Labels of subword pieces: IGNORED for special pieces, a word's tag for its first piece, that tag as I for the others;
+    -1 for a tag that is none of LABELS or a word that has none."""
+    return F.arrow_udf(aligned_of(LABELS, IGNORED), "array<int>")(word_ids, tags)
 
 
 def token_outcome(truth: Column, predicted: Column) -> Column:

@@ -18,7 +18,7 @@ ROWS = 500
 
 
 @lru_cache(maxsize=8)
-def _load(path: str):
+def encoder(path: str):
     """encode(list of texts) -> (ids, pieces) per text."""
     if path.endswith(".model"):
         import sentencepiece
@@ -40,12 +40,25 @@ def _load(path: str):
     return encode
 
 
+@lru_cache(maxsize=8)
+def decoder(path: str):
+    """decode(list of ids) -> text."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).decode
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    return lambda ids: model.decode(ids, skip_special_tokens=False)
+
+
 def token_pieces(col: Column | str, path: str) -> Column:
     """struct<n:int,pieces:array<string>> of each text without special tokens; null for a null text."""
 
     @F.pandas_udf("struct<n:int,pieces:array<string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode = _load(path)
+        encode = encoder(path)
         for texts in batches:
             some = [t for t in texts if t is not None]
             got = iter(encode(some))
@@ -60,7 +73,7 @@ def token_length(col: Column | str, path: str) -> Column:
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _load(path)
+        encode = encoder(path)
         for texts in batches:
             some = [t for t in texts if t is not None]
             got = iter(encode(some))
@@ -75,7 +88,7 @@ def word_pieces(tokens: Column | str, path: str, limit: int | None = None) -> Co
 
     @F.arrow_udf("array<struct<piece:string,word:int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _load(path)
+        encode = encoder(path)
         known: dict[str, list[str]] = {}
         for batch in batches:
             for at in range(0, max(len(batch), 1), ROWS):  # long records: the pieces of a whole batch would fill the worker

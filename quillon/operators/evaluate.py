@@ -92,6 +92,18 @@ def results_summary(metrics: DataFrame, by: str = "model_key") -> DataFrame:
     return flat.select(by, nest("baseline"), nest("finetuned"))
 
 
+def word_scores(df: DataFrame, truth: str, predicted: dict[str, str], by: str) -> DataFrame:
+    """(by, phase, metric, value): precision, recall and F1 over words for every phase -> column of predicted tags, in one pass;
+    counts are summed inside each record, so that a few numbers a record are grouped and not its words."""
+    names = ("TP", "FP", "FN")
+    n = lambda col, x: F.size(F.filter(F.zip_with(truth, col, token_outcome), lambda o: o == x))
+    counts = df.select(by, *[n(col, x).alias(f"{phase}_{x}") for phase, col in predicted.items() for x in names])
+    sums = counts.groupBy(by).agg(*[F.sum(f"{phase}_{x}").alias(f"{phase}_{x}") for phase in predicted for x in names])
+    phases = F.array(*[F.struct(F.lit(phase).alias("phase"), *[F.col(f"{phase}_{x}").alias(x.lower()) for x in names]) for phase in predicted])
+    scored = scores(sums.select(by, F.explode(phases).alias("p")).select(by, "p.*"))
+    return scored.select(by, "phase", F.explode(F.create_map(*[x for m in ("precision", "recall", "f1") for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+
+
 def token_confusion(df: DataFrame, truth: str, predicted: str, keys: list[str]) -> DataFrame:
     """(keys, i, truth, predicted, outcome) word by word; the longer array is cut to the other."""
     n = F.least(F.size(truth), F.size(predicted))
@@ -99,8 +111,9 @@ def token_confusion(df: DataFrame, truth: str, predicted: str, keys: list[str])
     return df.select(*keys, F.posexplode_outer(pairs).alias("i", "x")).where("x is not null").select(*keys, "i", "x.truth", "x.predicted", "x.outcome")
 
 
-# The colours of the confusion view.
+# The colours of the confusion view, and what its legend calls them.
 COLOURS = {"TP": "#b6e3a5", "FP": "#f4a3a3", "FN": "#f7c98d", "TN": "transparent"}
+LEGEND = {"TP": "Acierto", "FP": "Falso positivo", "FN": "Se le escapó (FN)"}
 
 
 def confusion_html(tokens: Column, truth: Column, predicted: Column, title: str) -> Column:
@@ -110,3 +123,9 @@ def confusion_html(tokens: Column, truth: Column, predicted: Column, title: str)
     rows = F.arrays_zip(tokens.alias("w"), truth.alias("t"), predicted.alias("p"))
     span = lambda r: F.concat(F.lit('<span style="background-color:'), colour[token_outcome(F.coalesce(r["t"], F.lit("O")), F.coalesce(r["p"], F.lit("O")))], F.lit('">'), safe(r["w"]), F.lit("</span>"))
     return F.concat(F.lit(f"<div><b>{title}</b> "), F.array_join(F.transform(rows, span), " "), F.lit("</div>"))
+
+
+def confusion_view(tokens: Column, truth: Column, rows: dict[str, Column]) -> Column:
+    """A legend, and below each other one confusion_html for every title and tags of rows (the truth itself may be one)."""
+    legend = "<div>" + " ".join(f'<span style="background-color:{COLOURS[k]}">{v}</span>' for k, v in LEGEND.items()) + "</div>"
+    return F.concat(F.lit(legend), *[confusion_html(tokens, truth, tags, title) for title, tags in rows.items()])

@@ -70,9 +70,7 @@ def token_word_ratios(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def safe_window(spark: SparkSession, folder: str) -> DataFrame:
-    ratios = _ratios(spark, folder)
-    at = [profile.safe_window(ratios, p).select(F.lit(p).alias("percentile"), "ratio", "window_words") for p in (0.9, 1.0)]
-    return at[0].unionByName(at[1])
+    return profile.safe_windows(_ratios(spark, folder).select("ratio"), [0.9, 1.0])
 
 
 def docs_without_entities(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,12 +235,7 @@ def training_curves(spark: SparkSession, folder: str) -> DataFrame:
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Scores per split of a word-wise stand-in: the perturbed tags as finetuned, tags shifted by one word as baseline."""
     rows = _tagged(spark, folder).where("split is not null").withColumn("shifted", F.slice(F.concat(F.array(F.lit("O")), "tags"), F.lit(1), F.size("tags")))
-    out = None
-    for phase, col in (("baseline", "shifted"), ("finetuned", "predicted")):
-        c = evaluate.token_confusion(rows, "tags", col, ["split"]).groupBy("split").agg(*[F.count_if(F.col("outcome") == x).alias(x.lower()) for x in ("TP", "FP", "FN")])
-        s = evaluate.scores(c).select(F.col("split").alias("model_key"), F.lit(phase).alias("phase"), F.explode(F.create_map(*[x for m in ("precision", "recall", "f1") for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    return evaluate.word_scores(rows, "tags", {"baseline": "shifted", "finetuned": "predicted"}, "split").withColumnRenamed("split", "model_key")
 
 
 def metric_pivot(spark: SparkSession, folder: str) -> DataFrame:

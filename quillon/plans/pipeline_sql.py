@@ -60,7 +60,7 @@ def _scored(counted: str, keys: str = "") -> str:
     return f"SELECT *, {_F1} FROM (SELECT {keys}{_SCORES} FROM ({counted}))"
 
 
-def _profile(rows: str) -> str:
+def profile_sql(rows: str) -> str:
     q = lambda p: f"round(quantile_cont(n_words::DOUBLE, {p}), 6)"
     return f"SELECT split, count(*) AS n, max(n_words)::INT AS longest, round(avg(n_words), 6) AS mean, {q(0.5)} AS p50, {q(0.7)} AS p70, {q(0.99)} AS p99 FROM ({rows}) WHERE n_words IS NOT NULL GROUP BY split"
 
@@ -87,8 +87,8 @@ _UNESCAPED = r"""CASE WHEN span IS NULL THEN NULL ELSE array_to_string(list_tran
 SQL = {
     "word_tokens": f'WITH {_WORDS} SELECT row_id, i, word, a AS start, b AS "end" FROM words',
     "word_count": f"SELECT row_id, len(regexp_extract_all(text, {SOLID})) ::INT AS n_words FROM distemist_raw_splits WHERE text IS NOT NULL",
-    "length_profile": _profile(f"SELECT split, len(regexp_extract_all(text, {SOLID})) AS n_words FROM distemist_raw_splits"),
-    "chunk_length_profile": f"WITH {_CHUNKS} " + _profile("SELECT split, n_words FROM chunks JOIN (SELECT row_id, split FROM distemist_raw_splits) USING (row_id)"),
+    "length_profile": profile_sql(f"SELECT split, len(regexp_extract_all(text, {SOLID})) AS n_words FROM distemist_raw_splits"),
+    "chunk_length_profile": f"WITH {_CHUNKS} " + profile_sql("SELECT split, n_words FROM chunks JOIN (SELECT row_id, split FROM distemist_raw_splits) USING (row_id)"),
     "token_word_ratio": _RATIOS,
     "safe_window": f"WITH r AS ({_RATIOS}) " + " UNION ALL ".join(
         f"SELECT {p}::DOUBLE AS percentile, round(quantile_cont(ratio, {p}), 6) AS ratio, floor(480.0::DOUBLE / quantile_cont(ratio, {p}) * 0.9::DOUBLE)::INT AS window_words FROM r WHERE ratio > 0" for p in (0.9, 1.0)),

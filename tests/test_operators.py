@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,27 @@ def test_predictions(spark):
     assert [r.c for r in df.orderBy("k").select(gazetteer("t", terms).alias("c")).collect()] == [["1", "2"], None, []]
     assert [r.c for r in df.orderBy("k").select(gazetteer("t", []).alias("c")).collect()] == [[], None, []]
     assert [r.n for r in df.orderBy("k").select(predict("t", lambda: lambda vs: [v and len(v) for v in vs], "int").alias("n")).collect()] == [12, None, 4]
+
+
+def test_exact_percentiles_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 500):
+        values = rng.choice(rng.random(60), n)
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        at = [0.0, 0.3, 0.5, 0.9, 1.0]
+        assert np.allclose(profile.exact_percentiles(df, "v", at), np.quantile(values, at))
+        assert np.allclose(profile.exact_percentiles(df, "v", at, tasks=13), np.quantile(values, at))
+    assert profile.exact_percentiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_written_numbers_and_heads(spark):
+    df = spark.createDataFrame([(1234567, 2.345), (None, None)], "n long, x double")
+    assert [tuple(r) for r in df.select(profile.grouped("n"), profile.fixed("x", 1)).collect()] == [("1,234,567", "2.3"), (None, None)]
+    assert [r.id for r in profile.head(spark.range(30).orderBy(F.desc("id")), 3, ["id"]).collect()] == [0, 1, 2]
+
+
+def test_word_scores_match_the_words_one_by_one(spark):
+    rows = [("a", ["B-E", "I-E", "O"], ["B-E", "O", "O"], ["O", "O", "B-E"]), ("a", ["O"], ["O"], []), ("b", [], [], []), (None, ["B-E"], ["B-E"], ["B-E"])]
+    df = spark.createDataFrame([(k, t, p, q) for k, t, p, q in rows], "k string, t array<string>, p array<string>, q array<string>")
+    got = {(r.k, r.phase, r.metric): r.value for r in evaluate.word_scores(df.where("size(t) = size(q)"), "t", {"one": "p", "two": "q"}, "k").collect()}
+    assert got[("a", "one", "recall")] == 0.5 and got[("a", "one", "precision")] == 1.0 and got[("a", "two", "f1")] == 0.0 and got[("b", "one", "f1")] == 0.0 and got[(None, "two", "f1")] == 1.0

@@ -50,3 +50,38 @@ def test_scratch_tables(spark):
     df = keep(spark.createDataFrame([(1, "a"), (1, "a")], "k int, v string"), "test")
     assert df.count() == 2 and df.schema.simpleString() == "struct<k:int,v:string>"
     assert clear(spark) >= 1
+
+
+def test_formats_are_written_and_read_by_split(spark, tmp_path):
+    rows = [("a_chunk0", "train", "tiene asma leve", [(6, 15, "asma leve", "E", None)]), ("b", "dev", "sano", None), ("c", None, "", [])]
+    df = spark.createDataFrame(rows, f"doc_id string, split string, text string, entities {ENTITIES}")
+    files.write_formats(df, str(tmp_path))
+    bio = {r.doc_id: (r.tokens, r.ner_tags) for r in files.read_format(spark, str(tmp_path), "bio").collect()}
+    assert bio == {"a_chunk0": (["tiene", "asma", "leve"], ["O", "B-ENFERMEDAD", "I-ENFERMEDAD"]), "b": (["sano"], ["O"]), "c": ([], [])}
+    assert [(r.doc_id, r.target_text) for r in files.read_format(spark, str(tmp_path), "seq2seq", "dev").collect()] == [("b", "ninguna")]
+    assert {r.doc_id for r in files.all_splits(spark, f"{tmp_path}/bio", ("train", "dev")).collect()} == {"a_chunk0", "b"}
+    with pytest.raises(ValueError):
+        files.read_format(spark, str(tmp_path), "conll")
+
+
+def test_settings_and_runs(spark, tmp_path):
+    files.write_artifact(spark, {"r": 8, "targets": ["q", "v"]}, f"{tmp_path}/s/one")
+    files.write_artifact(spark, {}, f"{tmp_path}/s/two")
+    assert sorted((r.r or 0, r.targets or []) for r in files.read_artifacts(spark, f"{tmp_path}/s", "r int, targets array<string>").collect()) == [(0, []), (8, ["q", "v"])]
+    metrics = spark.createDataFrame([("m", "baseline", "f1", 0.5)], "model_key string, phase string, metric string, value double")
+    for run in ("r1", "r2"):
+        files.track_run(metrics, f"{tmp_path}/runs", run)
+    assert sorted(tuple(r) for r in files.read_runs(spark, f"{tmp_path}/runs").collect()) == [("r1", "m", "baseline", "f1", 0.5), ("r2", "m", "baseline", "f1", 0.5)]
+
+
+def test_annotations_without_line_breaks_are_read_in_splits(spark, tmp_path):
+    lines = ["filename\tmark\tlabel\toff0\toff1\tspan"] + [f"d{i % 7}\tT{i}\tE\t{i}\t{i + 1}\tuno \"\"dos\"\" {i}" for i in range(5_000)]
+    (tmp_path / "a.tsv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.scan_annotations(spark, str(tmp_path), breaks=False)
+        assert rows.rdd.getNumPartitions() > 3
+        assert [r.off0 for r in rows.orderBy("ord").select("off0").collect()] == list(range(5_000))
+        assert files.scan_annotations(spark, str(tmp_path)).count() == 5_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import tags as T
 from quillon.functions.text import word_spans
-from quillon.functions.tokenizers import FOLDER, word_pieces
-from quillon.plans.formats import VOCABULARIES, align_subword_labels
+from quillon.functions.sequences import vocabulary
+from quillon.functions.tokenizers import word_pieces
+from quillon.plans.formats import align_subword_labels
 
 ENTITIES = "array<struct<start:int,end:int,text:string,label:string,normalized_term:string>>"
 
@@ -100,5 +101,5 @@ def test_pieces_of_a_long_record_are_all_labelled(spark, tmp_path):
     assert row.n_pieces > 1400 and len(labels) == row.n_pieces + 2
     assert labels[0] == labels[-1] == -100 and sorted(set(labels[1:-1])) in ([0, 1], [0, 1, 2])
     words = spark.createDataFrame([(["uno"] * 600,)], "w array<string>")
-    path = f"{FOLDER}/{VOCABULARIES[0]}"
+    path = vocabulary("byte").path()
     assert words.select(F.size(word_pieces("w", path)) >= 600, F.size(word_pieces("w", path, 512)) == 512).first() == (True, True)
