@@ -30,6 +30,9 @@ NAMES = {
     "it": ("it", "ita", "italian", "italiano"),
 }
 
+#: Letters from which an n-gram tells that a text is in none of the languages, and the share of samples that are doubted for it.
+LONG_GRAM, RARE = 3, 0.02
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _STOP = re.compile(r"[.!?;:…][\"'”’»)\]]*(?:\s|$)|\n\s*\n|\|")
 _CACHE_SIZE, _LONG_WORD = 500_000, 60
@@ -55,13 +58,15 @@ def _bare(text: str) -> str:
 
 @dataclass
 class Model:
-    """Sparse weights by n-gram (idf multiplied in), bias, and the temperature of the calibrated confidence."""
+    """Sparse weights by n-gram (idf multiplied in), bias, the temperature of the calibrated confidence, and how many of their
+    long n-grams texts of these languages have weights for (quantiles of held-out samples)."""
 
     langs: list[str]
     weights: dict[str, np.ndarray]
     bias: np.ndarray
     temperature: float = 1.0
     held_out: float = float("nan")
+    typical: np.ndarray | None = None
     _ids: dict[str, int] = field(default_factory=dict, repr=False)
     _rows: np.ndarray | None = field(default=None, repr=False)
 
@@ -69,29 +74,34 @@ class Model:
         return {**self.__dict__, "_ids": {}, "_rows": None}
 
     def _row(self, word: str) -> np.ndarray:
-        row = np.zeros(len(self.langs) + 1)
+        k = len(self.langs)
+        row = np.zeros(k + 3)
         for g in grams(word):
             x = self.weights.get(g)
             if x is not None:
-                row[:-1] += x
-            row[-1] += 1
+                row[:k] += x
+            row[k] += 1
+            if len(g) >= LONG_GRAM:
+                row[k + 1] += 1
+                row[k + 2] += x is not None
         return row
 
     def _add(self, word: str) -> None:
         if self._rows is None or len(self._ids) > _CACHE_SIZE:
-            self._ids, self._rows = {}, np.zeros((1024, len(self.langs) + 1))
+            self._ids, self._rows = {}, np.zeros((1024, len(self.langs) + 3))
         k = len(self._ids)
         if k == len(self._rows):
             self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
         self._rows[k] = self._row(word)
         self._ids[word] = k
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's part in the logits, before division by the length norm; and its number of n-grams. Remembered
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's part in the logits, before division by the length norm; its number of n-grams; and of its long ones,
+        how many there are and how many have weights. Remembered
         per worker; the memory is emptied when full, and words too long to be met again are not remembered, which costs time only."""
         at = list(map(self._ids.get, words))
         if None in at:
-            out = np.empty((len(words), len(self.langs) + 1))
+            out = np.empty((len(words), len(self.langs) + 3))
             for i, w in enumerate(words):
                 if len(w) > _LONG_WORD:
                     out[i] = self._row(w)
@@ -100,13 +110,22 @@ class Model:
                     self._add(w)
                 out[i] = self._rows[self._ids[w]]
         else:
-            out = self._rows[at] if at else np.empty((0, len(self.langs) + 1))
-        return out[:, :-1], out[:, -1]
+            out = self._rows[at] if at else np.empty((0, len(self.langs) + 3))
+        return out[:, :-3], out[:, -3], out[:, -2:]
 
     def logits(self, words: list[str]) -> np.ndarray:
-        z, n = self.words(words)
+        z, n, _ = self.words(words)
         return self.bias + z.sum(axis=0) / math.sqrt(max(n.sum(), 1.0))
 
+    def sure(self, logits: np.ndarray, k: int, long: np.ndarray) -> float:
+        """Confidence in language k: its calibrated probability among the known ones, less where so few of the text's long n-grams
+        have weights as in less than RARE of the held-out samples, as in text of a language that is none of them."""
+        p = float(self.probabilities(logits)[k])
+        if self.typical is None or not long[0]:
+            return p
+        below = (np.searchsorted(self.typical, long[1] / long[0], "right") + 1) / (len(self.typical) + 1)
+        return p * min(1.0, float(below) / RARE)
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         e = np.exp((logits - logits.max()) / self.temperature)
         return e / e.sum()
@@ -179,7 +198,7 @@ def train(samples: list[tuple[str, str]], alpha: float = 0.5, beta: float = 1.0,
     fold = np.empty(len(samples), int)
     fold[order] = np.arange(len(samples)) % folds
     fit = lambda own: _fit([v for s in own for v in _views(*s)], langs, alpha, beta, l1, l2, epochs, seed)
-    logits, truth = [], []
+    logits, truth, typical = [], [], []
     for k in range(folds):
         own = [s for s, f in zip(samples, fold, strict=True) if f != k]
         if len({a for a, _ in own}) < len(langs):
@@ -188,6 +207,8 @@ def train(samples: list[tuple[str, str]], alpha: float = 0.5, beta: float = 1.0,
         for (a, t), f in zip(samples, fold, strict=True):
             if f == k:
                 for _, words in _views(a, t):
+                    long = model.words(words)[2].sum(axis=0)
+                    typical.append(long[1] / max(long[0], 1.0))
                     logits.append(model.logits(words))
                     truth.append(langs.index(a))
     model = fit(samples)
@@ -201,6 +222,7 @@ def train(samples: list[tuple[str, str]], alpha: float = 0.5, beta: float = 1.0,
 
         model.temperature = min((float(t) for t in np.geomspace(0.1, 10, 81)), key=loss)
         model.held_out = float((o.argmax(axis=1) == y).mean())
+        model.typical = np.quantile(typical, np.linspace(0, 1, 1_000))
     return model
 
 
@@ -258,6 +280,7 @@ class _Mixed:
     spans: list[tuple[int, int]]
     sums: np.ndarray
     n: np.ndarray
+    long: np.ndarray
     e: np.ndarray
     cost: np.ndarray
 
@@ -270,7 +293,7 @@ def _begin(model: Model, text: str, how: Options) -> list[Stretch] | _Mixed:
     if not words:
         return []
     found = lambda: (m.span() for m in _TOKEN.finditer(low if same else text))
-    z, n = model.words(words)
+    z, n, long = model.words(words)
     root = math.sqrt(max(float(n.mean()), 1.0))
     sums = np.cumsum(np.vstack([np.zeros(z.shape[1]), z]), axis=0)
     size = min(how.window, len(words))
@@ -285,12 +308,12 @@ def _begin(model: Model, text: str, how: Options) -> list[Stretch] | _Mixed:
         o = model.bias + sums[-1] / math.sqrt(max(float(n.sum()), 1.0))
         last = words[-1] if same else _TOKEN.findall(text)[-1]
         end = (low if same else text).rfind(last) + len(last)
-        return [Stretch(model.langs[whole], float(model.probabilities(o)[whole]), next(found())[0], end, len(words), _sentence(found(), text, how.run))]
+        return [Stretch(model.langs[whole], model.sure(o, whole, long.sum(axis=0)), next(found())[0], end, len(words), _sentence(found(), text, how.run))]
     spans = list(found())
     cost = np.full(len(words), how.switch)
     stops = np.searchsorted(np.array([s[0] for s in spans]), [m.start() for m in _STOP.finditer(text)])
     cost[stops[(stops > 0) & (stops < len(words))]] = how.at_stop
-    return _Mixed(text, spans, sums, n, e, cost)
+    return _Mixed(text, spans, sums, n, long, e, cost)
 
 
 #: Words of texts whose paths are sought side by side.
@@ -341,7 +364,7 @@ def _end(model: Model, x: _Mixed, path: list[int], how: Options) -> list[Stretch
     out = []
     for a, b, k in runs:
         o = model.bias + (x.sums[b] - x.sums[a]) / math.sqrt(max(float(x.n[a:b].sum()), 1.0))
-        out.append(Stretch(model.langs[k], float(model.probabilities(o)[k]), x.spans[a][0], x.spans[b - 1][1], b - a, _sentence(x.spans[a:b], x.text, how.run)))
+        out.append(Stretch(model.langs[k], model.sure(o, k, x.long[a:b].sum(axis=0)), x.spans[a][0], x.spans[b - 1][1], b - a, _sentence(x.spans[a:b], x.text, how.run)))
     return out
 
 
@@ -351,7 +374,7 @@ def stretches_of(model: Model, texts: list[str], how: Options = Options()) -> li
     If every window of words is best explained by the same language the text is one stretch. Else the most probable
     sequence of languages over the words is sought, a change costing at_stop where a sentence ends and switch
     elsewhere, so that a few foreign words inside a sentence change nothing; stretches of fewer than least words
-    join the one before. Confidence is the calibrated probability of the language over the stretch's words."""
+    join the one before. Confidence is Model.sure over the stretch's words."""
     out = [_begin(model, t, how) for t in texts]
     mixed = [i for i, x in enumerate(out) if isinstance(x, _Mixed)]
     for i, path in zip(mixed, _paths([out[i] for i in mixed]), strict=True):

@@ -87,7 +87,7 @@ def test_a_very_long_word_is_read_whole(model):
     word = "q" * 300 + "straßenbahnhaltestelle" * 3
     row = model._row(word)
     whole = sum((model.weights[g] for i in range(len(word) + 2) for n in range(1, 5) if i + n <= len(word) + 2 and (g := f" {word} "[i : i + n]) in model.weights), 0)
-    assert np.allclose(row[:-1], whole)
+    assert np.allclose(row[:-3], whole) and row[-2] > 2 * len(word) - 10
     assert model.words([word])[0].shape == (1, 6) and word not in model._ids
 
 
@@ -96,3 +96,19 @@ def test_a_short_whole_sentence_in_another_language_stands(model):
     text = f"{es[0]} The patient was discharged. {es[1]}"
     assert [s.lang for s in stretches(model, text)] == ["es", "en", "es"]
     assert {s.lang for s in stretches(model, f"{es[0].rstrip('.')} patient was discharged {es[1]}")} == {"es"}
+
+
+FOREIGN = {
+    "no": "Pasienten ble innlagt på sykehuset med feber og smerter i brystet etter tre dager.",
+    "pl": "Pacjent został przyjęty do szpitala z gorączką i bólem w klatce piersiowej.",
+    "fi": "Potilas otettiin sairaalaan kuumeen ja rintakivun vuoksi kolmen päivän jälkeen.",
+    "tr": "Hasta üç gün sonra ateş ve göğüs ağrısı ile hastaneye yatırıldı.",
+    "sv": "Patienten lades in på sjukhuset med feber och smärta i bröstet efter tre dagar.",
+    "": "asdkj qwoeiru zxmcnv alskdjf qpwoeiruty mznxbcv laskdjf qowieur",
+}
+
+
+def test_confidence_is_low_on_foreign_text_and_high_on_known(model):
+    assert all(max(s.confidence for s in stretches(model, t)) < 0.5 for t in FOREIGN.values())
+    even = train([s for i, s in enumerate(SAMPLES) if i % 2])
+    assert np.mean([stretches(even, t)[0].confidence > 0.9 for i, (_, t) in enumerate(SAMPLES) if i % 2 == 0]) > 0.9
