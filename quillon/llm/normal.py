@@ -76,51 +76,66 @@ def _least(plus: int, minus: int, n: int, column: int, left: int) -> int:
     return int((values + np.abs(np.arange(n, -1, -1) - left)).min())
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Words changed, left out or added between two id sequences, or limit + 1 if there are more than limit.
+class Pattern:
+    """A word sequence prepared to be held against many others: for every word a number whose bits are its places."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.size = ids, len(ids)
+        self.places: dict[int, int] = {}
+        if not len(ids):
+            return
+        order = np.argsort(ids, kind="stable")
+        edges = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
+        width = -(-self.size // 8)
+        for a, b in zip(edges.tolist(), [*edges.tolist()[1:], self.size], strict=True):
+            at = order[a:b]
+            if b - a <= 4:
+                self.places[int(ids[at[0]])] = sum(1 << k for k in at.tolist())
+            else:
+                raw = np.zeros(width * 8, np.uint8)
+                raw[at] = 1
+                self.places[int(ids[at[0]])] = int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+
+    def distance(self, b: np.ndarray, limit: int) -> int:
+        """Words changed, left out or added to turn this sequence into b, or limit + 1 if there are more than limit.
+
+        One bit-parallel column step per word of b, the places in this sequence being the bits of one integer. Now and then all
+        of a column is read: where even its best cell cannot end within the limit, the rest is not needed.
+        """
+        n, left = self.size, len(b)
+        if abs(n - left) > limit:
+            return limit + 1
+        if not n or not left:
+            return min(max(n, left), limit + 1)
+        full, places = (1 << n) - 1, self.places
+        plus, minus = full, 0
+        look = max(48, left // 24)
+        for w in b.tolist():
+            if left % look == 0 and left < len(b) and _least(plus, minus, n, len(b) - left, left) > limit:
+                return limit + 1
+            eq = places.get(w, 0)
+            side = eq | minus
+            zero = ((((eq & plus) + plus) ^ plus) | side) & full
+            up = minus | (full ^ (zero | plus))
+            down = plus & zero
+            up = ((up << 1) | 1) & full
+            plus = ((down << 1) & full) | (full ^ (zero | up))
+            minus = up & zero
+            left -= 1
+        return min(len(b) + plus.bit_count() - minus.bit_count(), limit + 1)
+
 
-    Common ends are cut off, then one bit-parallel column step per word of the shorter rest: the longer one's
-    positions are the bits of one integer, so 200 words cost 200 steps. Now and then all of a column is read: where even its best
-    cell cannot end within the limit, the rest is not needed.
-    """
+def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Pattern(a).distance(b, limit), common ends cut off first."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    if len(a) < len(b):
-        a, b = b, a
-    n = len(b)
-    same = a[:n] == b
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
     head = n if same.all() else int(same.argmin())
     a, b = a[head:], b[head:]
-    n = len(b)
+    n = min(len(a), len(b))
     if n:
-        same = a[len(a) - n :][::-1] == b[::-1]
+        same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
         tail = n if same.all() else int(same.argmin())
-        a, b = a[: len(a) - tail], b[: n - tail]
-    if not len(b):
-        return min(len(a), limit + 1)
-    where: dict[int, int] = {}
-    for i, w in enumerate(a.tolist()):
-        where[w] = where.get(w, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    last = 1 << (len(a) - 1)
-    plus, minus, score, left = full, 0, len(a), len(b)
-    look = max(48, len(b) // 24)
-    for w in b.tolist():
-        if left % look == 0 and left < len(b) and _least(plus, minus, len(a), len(b) - left, left) > limit:
-            return limit + 1
-        eq = where.get(w, 0)
-        zero = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
-        up = (minus | ~(zero | plus)) & full
-        down = plus & zero
-        if up & last:
-            score += 1
-        elif down & last:
-            score -= 1
-        left -= 1
-        if score - left > limit:
-            return limit + 1
-        up = ((up << 1) | 1) & full
-        down = (down << 1) & full
-        plus = (down | ~(zero | up)) & full
-        minus = up & zero
-    return min(score, limit + 1)
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return Pattern(a).distance(b, limit)
