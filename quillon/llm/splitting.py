@@ -73,7 +73,9 @@ def cut_points(text: str, words: list[tuple[int, int]], spans: list[tuple[int, i
     """(from, core, to) in words for every piece: words from..core repeat the piece before, core..to are new."""
     n = len(words)
     starts, ends = [w[0] for w in words], [w[1] for w in words]
-    strength = [boundary(text[starts[i] : ends[i]], text[ends[i] : starts[i + 1]], text[starts[i + 1] : ends[i + 1]]) for i in range(n - 1)]
+    # One blank after a letter or digit is what most words have between them: no end of anything.
+    plain = [text[b - 1].isalnum() and c - b == 1 and text[b] == " " for b, c in zip(ends, starts[1:], strict=False)]
+    strength = [WORD if plain[i] else boundary(text[starts[i] : ends[i]], text[ends[i] : starts[i + 1]], text[starts[i + 1] : ends[i + 1]]) for i in range(n - 1)]
     for a, b in spans:  # a boundary lies inside an entity that begins before it and ends after it
         for i in range(max(0, bisect_right(ends, a)), min(n - 1, bisect_left(starts, b) - 1)):
             strength[i] = INSIDE
