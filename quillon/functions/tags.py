@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.batches import aligned_of, names_of, tagged, tags_of
+from quillon.functions.batches import aligned_of, both_of, names_of, tagged, tags_of
 from quillon.functions.text import let, strip
 
 # Fixed values that must equal those of the formats produced.
@@ -52,6 +52,12 @@ def bio_decode(tokens: Column, tags: Column) -> Column:
     return F.arrow_udf(names_of, "array<string>")(tokens, tags)
 
 
+def decoded_marks(tokens: Column | str, truth: Column | str, predicted: Column | str) -> Column:
+    """array<struct<entity:string,t:boolean>>: names that either tags mark in tokens, as bio_decode finds them, and whether they
+    are the true ones; empty where tokens or both tags are null."""
+    return F.arrow_udf(both_of, "array<struct<entity:string,t:boolean>>")(tokens, truth, predicted)
+
+
 def seq2seq_target(entities: Column) -> Column:
     """Normalised terms (else texts) in order, each once, joined by the separator; the sentinel where there is none."""
     terms = F.array_distinct(F.filter(F.transform(entities, lambda e: F.coalesce(e["normalized_term"], e["text"])), lambda t: t.isNotNull()))

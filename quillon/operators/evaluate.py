@@ -23,12 +23,17 @@ def outcomes(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.select("doc_id", "entity", F.when(F.col("t").isNotNull() & F.col("p").isNotNull(), "TP").when(F.col("p").isNotNull(), "FP").otherwise("FN").alias("outcome"))
 
 
-def row_outcomes(df: DataFrame, truth: Column, predicted: Column, doc_id: Column | str = "doc_id", decoded: bool = False) -> DataFrame:
+def row_outcomes(df: DataFrame, truth: Column, predicted: Column, doc_id: Column | str = "doc_id") -> DataFrame:
     """outcomes of entity_pairs(df, truth) and entity_pairs(df, predicted) where both stand in the same rows: one
-    pass and one shuffle, in place of two distincts and a join. decoded: the names are as entity_names leaves them."""
+    pass and one shuffle, in place of two distincts and a join."""
+    marked = lambda names, t: F.transform(F.coalesce(entity_names(names), F.array().cast("array<string>")), lambda e: F.struct(e.alias("entity"), F.lit(t).alias("t")))
+    return mark_outcomes(df, F.concat(marked(truth, True), marked(predicted, False)), doc_id)
+
+
+def mark_outcomes(df: DataFrame, marks: Column, doc_id: Column | str = "doc_id") -> DataFrame:
+    """outcomes from marks array<struct<entity,t>> of each row: names, and whether they are true ones or predicted."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    marked = lambda names, t: F.transform(F.coalesce(names if decoded else entity_names(names), F.array().cast("array<string>")), lambda e: F.struct(e.alias("entity"), F.lit(t).alias("t")))
-    rows = df.select(strip_chunk_suffix(key).alias("doc_id"), F.concat(marked(truth, True), marked(predicted, False)).alias("x"))
+    rows = df.select(strip_chunk_suffix(key).alias("doc_id"), marks.alias("x"))
     rows = rows.select("doc_id", F.explode_outer("x").alias("x")).where("doc_id is not null and x is not null").select("doc_id", "x.entity", "x.t")
     both = rows.groupBy("doc_id", "entity").agg(F.bool_or("t").alias("t"), F.bool_or(~F.col("t")).alias("p"))
     return both.select("doc_id", "entity", F.when(F.col("t") & F.col("p"), "TP").when(F.col("p"), "FP").otherwise("FN").alias("outcome"))

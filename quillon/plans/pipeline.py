@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.tags import (
-    argmax, bio_decode, encode_labels, first_pieces, kept_labels, parse_generated, placed, seq2seq_input, seq2seq_target, tagged_words,
+    argmax, bio_decode, decoded_marks, encode_labels, first_pieces, kept_labels, parse_generated, placed, seq2seq_input, seq2seq_target, tagged_words,
 )
 from quillon.functions.text import strip_chunk_suffix, unescape_unicode, word_count, word_spans
 from quillon.operators import annotate, evaluate, profile, splits
@@ -187,7 +187,7 @@ def token_confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.row_outcomes(_tagged(spark, folder), bio_decode(F.col("tokens"), F.col("tags")), bio_decode(F.col("tokens"), F.col("predicted")), decoded=True)
+    return evaluate.mark_outcomes(_tagged(spark, folder), decoded_marks("tokens", "tags", "predicted"))
 
 
 def doc_entity_sets(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,3 +103,15 @@ def test_pieces_of_a_long_record_are_all_labelled(spark, tmp_path):
     words = spark.createDataFrame([(["uno"] * 600,)], "w array<string>")
     path = vocabulary("byte").path()
     assert words.select(F.size(word_pieces("w", path)) >= 600, F.size(word_pieces("w", path, 512)) == 512).first() == (True, True)
+
+
+def test_marks_of_both_taggings(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(80):
+        n = rng.randrange(0, 9)
+        tags = lambda: [rng.choice(["O", "B-E", "I-E"]) for _ in range(n)]
+        rows.append((k, [rng.choice("xYz") for _ in range(n)], tags(), None if k % 11 == 0 else tags()))
+    df = spark.createDataFrame([*rows, (99, None, ["B-E"], ["B-E"])], "k int, w array<string>, t array<string>, p array<string>")
+    got = {r.k: [tuple(x) for x in r.m] for r in df.select("k", T.decoded_marks("w", "t", "p").alias("m")).collect()}
+    assert got == {99: [], **{k: [(x, True) for x in model_names(w, t)] + [(x, False) for x in (model_names(w, p) if p is not None else [])] for k, w, t, p in rows}}
