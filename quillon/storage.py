@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +42,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def keep_counted(df: DataFrame, label: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """keep, and n, the number of rows, with how many rows meet each condition: counted while they are written, not by another job."""
+    seen = Observation()
+    kept = keep(df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in counted.items()]), label)
+    return kept, {k: v or 0 for k, v in seen.get.items()}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer partitions than there are cores, as with one small file; else df.
 

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.schemas import ENTITIES
 from quillon.sources import files
-from quillon.storage import clear, keep
+from quillon.storage import clear, keep, keep_counted
 
 
 def test_tsv_dialect(spark, tmp_path):
@@ -85,3 +86,9 @@ def test_annotations_without_line_breaks_are_read_in_splits(spark, tmp_path):
         assert files.scan_annotations(spark, str(tmp_path)).count() == 5_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_kept_rows_are_counted_as_they_are_written(spark):
+    kept, seen = keep_counted(spark.range(1000).repartition(5).select((F.col("id") % 10).alias("k")), "counted", zeros=F.col("k") == 0)
+    assert seen == {"n": 1000, "zeros": 100} and kept.count() == 1000
+    assert keep_counted(spark.range(0), "counted")[1] == {"n": 0}
