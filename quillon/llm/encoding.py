@@ -370,10 +370,10 @@ def restore_encoding(df: DataFrame, text: str = "span", most_proved: int = MOST_
     with every task, more are joined to their rows.
     """
     some = df.select(F.col("row_id").cast("long").alias("row_id"), F.col(text).alias("span")).where(F.col("span").rlike(r"[^\x00-\x7F]|\p{L}\?\p{L}"))
-    proved = keep(proved_misreadings(some), "misread-words")
-    if proved.count() <= most_proved:
-        known = {r["word"]: list(r["originals"]) for r in proved.collect()}
-        return spread(some).mapInArrow(_run(known), OUT)
+    proved = proved_misreadings(some)
+    few = proved.limit(most_proved + 1).collect()
+    if len(few) <= most_proved:
+        return spread(some).mapInArrow(_run({r["word"]: list(r["originals"]) for r in few}), OUT)
     words = some.select("span").distinct().select("span", F.explode(F.array_distinct(parts("span"))).alias("word"))
     own = words.join(proved, "word").groupBy("span").agg(F.collect_list(F.struct("word", "originals")).alias("proved"))  # words of one text
     return some.join(own, "span", "left").select("row_id", "span", "proved").mapInArrow(_run(None), OUT)
