@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.skew import salted_join
+
 
 def attach_entities(docs: DataFrame, annotations: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """docs with entities: those of annotations (filename, ord, off0, off1, span, label) with that filename, by ord.
 
     A left join: a record without annotations keeps an empty array, annotations of unknown files are dropped, before
-    they are grouped, so that a file that no record has costs no group however large it is. ord
+    they are grouped, so that a file that no record has costs no group however large it is; hot files are salted for that. ord
     must order the annotations of a file; equal ones stand by offsets and span. A null doc_id has none.
     """
     known = docs.select(F.col(doc_id).alias("filename")).where("filename is not null").distinct()
-    rows = annotations.select("filename", "ord", "off0", "off1", "span", "label").join(known, "filename", "left_semi")
+    rows = salted_join(annotations.select("filename", "ord", "off0", "off1", "span", "label"), known, "filename", "left_semi")
     entity = F.struct(F.col("off0").alias("start"), F.col("off1").alias("end"), F.coalesce("span", F.lit("")).alias("text"), "label", F.lit(None).cast("string").alias("normalized_term"))
     lists = rows.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("ord", "off0", "off1", F.coalesce("span", F.lit("")).alias("span"), entity.alias("e")))).alias("l"))
     lists = lists.select(F.col("filename").alias("_file"), F.transform("l", lambda x: x["e"]).alias("_entities"))

@@ -57,7 +57,7 @@ def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, row_id:
     refs = child.select(F.col(row_id).alias("row_id"), fk.key.alias("k"), (fk.at if fk.at is not None else F.lit(None).cast("timestamp")).alias("t")).where("k is not null")
     if fk.at is None:
         known = parent.select(fk.parent_key.alias("k")).where("k is not null").distinct()
-        return refs.join(known, "k", "left_anti").select("row_id", F.lit("missing").alias("kind"), F.col("t").alias("at"))
+        return salted_join(refs, known, "k", "left_anti").select("row_id", F.lit("missing").alias("kind"), F.col("t").alias("at"))
     until = fk.until if fk.until is not None else F.lit(None).cast("timestamp")
     rows = parent.select(fk.parent_key.alias("k"), fk.since.alias("a"), until.alias("b")).where("k is not null")
     steps = rows.select("k", F.explode(F.array(
@@ -94,7 +94,7 @@ def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, row_id:
     late = line.select("turn", "row_id", "t", *[F.sum(c).over(sweep).alias(c) for c in ("open", "seen", "ever")]).where("turn = 1 and open <= 0").select(
         "row_id", F.when(F.col("ever") == 0, "missing").when(F.col("seen") == 0, "not_yet").otherwise("deleted").alias("kind"), F.col("t").alias("at"))
     known = rows.where("a is not null").select("k").distinct().withColumn("known", F.lit(True))
-    undated = refs.where("t is null").join(known, "k", "left").select("row_id", F.when(F.col("known"), "undated").otherwise("missing").alias("kind"), F.col("t").alias("at"))
+    undated = salted_join(refs.where("t is null"), known, "k", "left").select("row_id", F.when(F.col("known"), "undated").otherwise("missing").alias("kind"), F.col("t").alias("at"))
     return late.unionByName(undated)
 
 

@@ -12,7 +12,7 @@ PARTS_OF_TASK = 16
 
 
 def salted_join(big: DataFrame, one: DataFrame, keys: str | list[str], how: str = "inner", least: int = LEAST_HOT, counted: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    """big.join(one, keys, how) for a big side that is a written table and any other (inner, left or left_semi), of which the rows under hot
+    """big.join(one, keys, how) for a big side that is a written table and any other (inner, left, left_semi or left_anti), of which the rows under hot
     keys are repeated, so that one row a key or few are meant.
     counted: a written table with the keys of big, where big is none itself; rows: its number of rows where known.
 

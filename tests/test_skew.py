@@ -21,7 +21,7 @@ def tables(spark):
     return big, one
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_equals_the_plain_join(without_adaptive, how):
     big, one = tables(without_adaptive)
     got, want = (d.select(*sorted(d.columns)) for d in (salted_join(big, one, "k", how, 1_000), big.join(one, "k", how)))
