@@ -246,12 +246,10 @@ def both(one: pa.ListArray, two: pa.ListArray) -> pa.ListArray:
     """Names of two lists a row, each with whether it is of the first."""
     n, m = _lengths(one), _lengths(two)
     ends = np.concatenate([[0], np.cumsum(n + m)])
+    within = np.arange(ends[-1]) - np.repeat(ends[:-1], n + m)
+    first = within < np.repeat(n, n + m)
     at = np.empty(ends[-1], np.int64)
-    first = np.zeros(ends[-1], bool)
-    for size, start, base in ((n, ends[:-1], 0), (m, ends[:-1] + n, n.sum())):
-        places = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        at[places] = base + np.arange(size.sum())
-        first[places] = base == 0 and size is n
+    at[first], at[~first] = np.arange(n.sum()), n.sum() + np.arange(m.sum())
     names = pa.concat_arrays([one.flatten(), two.flatten()]).take(pa.array(at))
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([names, pa.array(first)], names=["entity", "t"]))
 
