@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.tags import IGNORED
-from quillon.functions.tokenizers import FOLDER, decoder, encoder, token_length
+from quillon.functions.tokenizers import FOLDER, decoder, text_ids, token_length
 from quillon.operators.prefix import hash_key, prefix_sums
 
 
@@ -63,11 +63,9 @@ def encoded(col: Column | str, key: str, most: int | None = None, folder: str =
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder(path)
+        encode = text_ids(path)
         for texts in batches:
-            some = texts.to_pylist()
-            got = iter(encode([t for t in some if t is not None]))
-            yield _lists([None if t is None else np.array([v.begin, *next(got)[0][: None if most is None else most - 2], v.end], np.int32) for t in some])
+            yield _lists([None if t is None else np.array([v.begin, *encode(t)[: None if most is None else most - 2], v.end], np.int32) for t in texts.to_pylist()])
 
     return run(col)
 
@@ -81,7 +79,8 @@ def decoded_text(ids: Column | str, key: str, folder: str = FOLDER) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decode = decoder(path)
         for lists in batches:
-            yield pa.array([None if x is None else decode([i for i in x if i not in special]) for x in lists.to_pylist()], pa.string())
+            rows = (x.as_py() for x in lists)  # a row at a time: Python's numbers of a whole batch take ten times the batch
+            yield pa.array([None if x is None else decode([i for i in x if i not in special]) for x in rows], pa.string())
 
     return run(ids)
 

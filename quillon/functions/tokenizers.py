@@ -18,26 +18,29 @@ ROWS = 500
 
 
 @lru_cache(maxsize=8)
-def encoder(path: str):
-    """encode(list of texts) -> (ids, pieces) per text."""
+def _model(path: str):
+    """(ids, pieces) of one text each, by the tokenizer of a file. In the calling thread: a task has one core."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-
-        def encode(texts: list[str]) -> list[tuple[list[int], list[str]]]:
-            return [(model.encode(t, num_threads=1), model.encode(t, out_type=str, num_threads=1)) for t in texts]
-
-        return encode
+        return (lambda t: model.encode(t, num_threads=1)), (lambda t: model.encode(t, out_type=str, num_threads=1))
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
+    encode = lambda t: model.encode(t, add_special_tokens=False)
+    return (lambda t: encode(t).ids), (lambda t: encode(t).tokens)
+
+
+def text_ids(path: str):
+    """ids(text) -> list of ids. One text at a time: what a tokenizer holds of a text is a hundred times an id's size."""
+    return _model(path)[0]
 
-    def encode(texts: list[str]) -> list[tuple[list[int], list[str]]]:
-        return [(e.ids, e.tokens) for e in model.encode_batch(texts, add_special_tokens=False)]
 
-    return encode
+def text_pieces(path: str):
+    """pieces(text) -> list of pieces."""
+    return _model(path)[1]
 
 
 @lru_cache(maxsize=8)
@@ -58,12 +61,10 @@ def token_pieces(col: Column | str, path: str) -> Column:
 
     @F.pandas_udf("struct<n:int,pieces:array<string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        pieces = text_pieces(path)
         for texts in batches:
-            some = [t for t in texts if t is not None]
-            got = iter(encode(some))
-            rows = [next(got) if t is not None else None for t in texts]
-            yield pd.DataFrame({"n": pd.Series([None if r is None else len(r[0]) for r in rows], dtype="Int32"), "pieces": [None if r is None else r[1] for r in rows]})
+            rows = [None if t is None else pieces(t) for t in texts]
+            yield pd.DataFrame({"n": pd.Series([None if r is None else len(r) for r in rows], dtype="Int32"), "pieces": rows})
 
     return run(col)
 
@@ -73,11 +74,9 @@ def token_length(col: Column | str, path: str) -> Column:
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path)
+        ids = text_ids(path)
         for texts in batches:
-            some = [t for t in texts if t is not None]
-            got = iter(encode(some))
-            yield pd.Series([len(next(got)[0]) if t is not None else None for t in texts], dtype="Int32")
+            yield pd.Series([None if t is None else len(ids(t)) for t in texts], dtype="Int32")
 
     return run(col)
 
@@ -88,16 +87,15 @@ def word_pieces(tokens: Column | str, path: str, limit: int | None = None) -> Co
 
     @F.arrow_udf("array<struct<piece:string,word:int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder(path)
+        pieces_of = text_pieces(path)
         known: dict[str, list[str]] = {}
         for batch in batches:
             for at in range(0, max(len(batch), 1), ROWS):  # long records: the pieces of a whole batch would fill the worker
                 lists = batch.slice(at, ROWS).to_pylist()
                 if len(known) > 500_000:
                     known.clear()
-                new = list(dict.fromkeys(w for ws in lists if ws is not None for w in ws if w is not None and w not in known))
-                for w, (_, pieces) in zip(new, encode([" " + w for w in new]), strict=True):
-                    known[w] = pieces
+                for w in {w for ws in lists if ws is not None for w in ws if w is not None and w not in known}:
+                    known[w] = pieces_of(" " + w)
                 pieces, words, ends = [], [], [0]
                 for ws in lists:
                     for i, w in enumerate(ws or ()):

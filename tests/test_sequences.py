@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,31 @@ def test_aligned_labels_of_odd_rows():
     tags = pa.array([["B-ENFERMEDAD", "O"], ["O"], ["O"], ["I-ENFERMEDAD"], None], pa.list_(pa.string()))
     assert aligned(words, tags, LABELS, IGNORED).to_pylist() == [[-100, 1, 2, 0, -100], None, [], [2, -1], None]
     assert aligned(words[1:4], tags[1:4], LABELS, IGNORED).to_pylist() == [None, [], [2, -1]]
+
+
+def _steps(monkeypatch, *made):
+    """The functions over batches that columns are made of, as the workers run them."""
+    for kind in ("arrow_udf", "pandas_udf"):
+        monkeypatch.setattr(F, kind, lambda _: lambda run: lambda *_: run)
+    return [make() for make in made]
+
+
+def _peak_mb(run, *batches):
+    tracemalloc.start()
+    try:
+        out = list(run(iter(batches)))
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+RECORDS = [f"neumonía adquirida {i} y asma leve, " * 40 for i in range(1_500)]
+
+
+def test_ids_of_a_batch_are_made_and_read_text_by_text(monkeypatch):
+    encode, decode = _steps(monkeypatch, lambda: S.encoded("t", "byte"), lambda: S.decoded_text("ids", "byte"))
+    next(encode(iter([pa.array(["a"])]))), next(decode(iter([pa.array([[64]], pa.list_(pa.int32()))])))  # the vocabulary is read
+    peak, (ids,) = _peak_mb(encode, pa.array(RECORDS))
+    assert peak < 25, f"{peak} MB for {ids.nbytes / 1e6} MB of ids"
+    peak, (texts,) = _peak_mb(decode, ids)
+    assert peak < 25 and texts.to_pylist() == RECORDS
