@@ -19,18 +19,18 @@ ROWS = 500
 
 @lru_cache(maxsize=8)
 def _model(path: str):
-    """(ids, pieces) of one text each, by the tokenizer of a file. In the calling thread: a task has one core."""
+    """(ids, pieces, number of pieces) of one text each, by the tokenizer of a file. In the calling thread: a task has one core."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return (lambda t: model.encode(t, num_threads=1)), (lambda t: model.encode(t, out_type=str, num_threads=1))
+        return (lambda t: model.encode(t, num_threads=1)), (lambda t: model.encode(t, out_type=str, num_threads=1)), (lambda t: len(model.encode(t, num_threads=1)))
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
     encode = lambda t: model.encode(t, add_special_tokens=False)
-    return (lambda t: encode(t).ids), (lambda t: encode(t).tokens)
+    return (lambda t: encode(t).ids), (lambda t: encode(t).tokens), (lambda t: len(encode(t)))
 
 
 def text_ids(path: str):
@@ -43,6 +43,11 @@ def text_pieces(path: str):
     return _model(path)[1]
 
 
+def text_length(path: str):
+    """length(text) -> number of pieces, without a list of them."""
+    return _model(path)[2]
+
+
 @lru_cache(maxsize=8)
 def decoder(path: str):
     """decode(list of ids) -> text."""
@@ -74,9 +79,9 @@ def token_length(col: Column | str, path: str) -> Column:
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = text_ids(path)
+        length = text_length(path)
         for texts in batches:
-            yield pd.Series([None if t is None else len(ids(t)) for t in texts], dtype="Int32")
+            yield pd.Series([None if t is None else length(t) for t in texts], dtype="Int32")
 
     return run(col)
 

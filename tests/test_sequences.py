@@ -1,5 +1,6 @@
 import tracemalloc
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,13 @@ def test_ids_of_a_batch_are_made_and_read_text_by_text(monkeypatch):
     assert peak < 25, f"{peak} MB for {ids.nbytes / 1e6} MB of ids"
     peak, (texts,) = _peak_mb(decode, ids)
     assert peak < 25 and texts.to_pylist() == RECORDS
+
+
+@pytest.mark.parametrize("key", ["byte", "word", "piece"])
+def test_lengths_of_a_batch_are_taken_text_by_text(monkeypatch, key):
+    length, encode = _steps(monkeypatch, lambda: S.token_length("t", S.vocabulary(key).path()), lambda: S.encoded("t", key))
+    next(length(iter([pd.Series(["a"])])))
+    peak, (n,) = _peak_mb(length, pd.Series([*RECORDS, None, ""]))
+    assert peak < 5 and n.isna().tolist() == [False] * len(RECORDS) + [True, False]
+    (ids,) = encode(iter([pa.array([*RECORDS[:20], ""])]))
+    assert [*n[:20], n.iloc[-1]] == [len(x) - 2 for x in ids.to_pylist()]
