@@ -20,6 +20,16 @@ _ASCII = np.zeros(256, bool)
 _ASCII[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
+#: Bytes of texts whose words are counted at once; the arrays over them take some thirty times as many.
+LOT = 1 << 20
+
+
+def _lots(texts: pa.Array) -> list[pa.Array]:
+    """texts in slices of LOT bytes and a text at most; one at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // LOT)) + 1).tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an array of strings; nulls are empty."""
@@ -209,7 +219,7 @@ def spans_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def counts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield Words(texts).counts()
+        yield pa.concat_arrays([Words(lot).counts() for lot in _lots(texts)])
 
 
 def fours_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

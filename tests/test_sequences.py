@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import sequences as S
-from quillon.functions.batches import aligned
+from quillon.functions.batches import aligned, counts_of
 from quillon.functions.tags import IGNORED, LABELS
 
 TEXTS = ["", "a", "neumonía adquirida  y\tasma", None, "x " * 400, "<|endoftext|>"]
@@ -96,3 +96,12 @@ def test_lengths_of_a_batch_are_taken_text_by_text(monkeypatch, key):
     assert peak < 5 and n.isna().tolist() == [False] * len(RECORDS) + [True, False]
     (ids,) = encode(iter([pa.array([*RECORDS[:20], ""])]))
     assert [*n[:20], n.iloc[-1]] == [len(x) - 2 for x in ids.to_pylist()]
+
+
+def test_words_of_a_batch_are_counted_in_lots():
+    texts = [*RECORDS, None, "", "  ", "x " * 700_000, *RECORDS[:2]]
+    for batch in (pa.array(texts), pa.array(texts)[3:], pa.array([], pa.string()), pa.array([None], pa.string())):
+        _, (n,) = _peak_mb(counts_of, batch)
+        assert n.to_pylist() == [None if t is None else len(t.split()) for t in batch.to_pylist()]
+    peak, _ = _peak_mb(counts_of, pa.array(RECORDS * 4))
+    assert peak < 60
