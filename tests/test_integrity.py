@@ -74,3 +74,24 @@ def test_file_reference(spark):
     cases = {" a.txt\n": "a", "a_chunk3.txt": "a", "a_chunk3": "a", "a.txt.txt": "a.txt", "a.txt_chunk1": "a.txt", "A-1": "A-1", None: None, "": "", "a .txt": "a "}
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
     assert [r.r for r in df.orderBy("i").select(file_reference(F.col("c")).alias("r")).collect()] == list(cases.values())
+
+
+def test_a_line_end_before_the_ending_belongs_to_the_name(spark):
+    cases = {"a_chunk3\n.txt": "a_chunk3\n", "a_chunk3\u2028.txt": "a_chunk3\u2028", "a\n_chunk3.txt": "a\n", "a_chunk3.txt\n": "a"}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    assert [r.r for r in df.orderBy("i").select(file_reference(F.col("c")).alias("r")).collect()] == list(cases.values())
+
+
+def test_times_without_a_zone_do_not_follow_the_session(spark):
+    at = lambda hour, minute: datetime(2024, 3, 31, hour, minute)
+    parent = spark.createDataFrame([("a", at(2, 30), at(3, 0)), ("b", at(3, 0), None)], "k string, since timestamp_ntz, until timestamp_ntz")
+    child = spark.createDataFrame([(1, "a", at(2, 45)), (2, "a", at(3, 0)), (3, "b", at(2, 30)), (4, "b", at(3, 0))], "row_id long, k string, t timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Europe/Madrid"):  # where the hour after two is left out that day
+            spark.conf.set("spark.sql.session.timeZone", name)
+            for until, late in ((F.col("until"), [(2, "deleted"), (3, "not_yet")]), (None, [(3, "not_yet")])):
+                fk = ForeignKey("c", F.col("k"), "p", F.col("k"), at=F.col("t"), since=F.col("since"), until=until)
+                assert sorted((r.row_id, r.kind) for r in direct_orphans(child, parent, fk).collect()) == late
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
